@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ BLANK = r"\x20\x09-\x0D"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 
 _OWN_FOLDER: list[str] = []
+#: Spark applications whose executors have this package.
+_SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +54,22 @@ class Scratch:
         self._fs.delete(self._path(f"{self.folder}/{name}"), True)
 
 
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow, with this package sent to executors that don't have it installed."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        archive = os.path.join(tempfile.mkdtemp(), "accordant.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for folder, _, files in os.walk(os.path.join(top, "accordant")):
+                for name in (f for f in files if f.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, top))
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return df.mapInArrow(function, schema)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is; null counts as empty."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
