@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from accordant.llm.decontaminate import op4_decontamination
 from accordant.llm.packing import op10_best_fit_packing
 from accordant.llm.quality import op9_quality_rules
 from accordant.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_decontamination": op4_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
