@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from accordant.llm.decontaminate import op4_decontamination
+from accordant.llm.linededup import op6_line_dedup
 from accordant.llm.packing import op10_best_fit_packing
 from accordant.llm.quality import op9_quality_rules
 from accordant.llm.simhash import op1_simhash
@@ -10,6 +11,7 @@ from accordant.llm.simhash import op1_simhash
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_decontamination": op4_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
