@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from accordant.llm.decontaminate import op4_decontamination
+from accordant.llm.kneser_ney import op8_kneser_ney
 from accordant.llm.linededup import op6_line_dedup
 from accordant.llm.packing import op10_best_fit_packing
 from accordant.llm.quality import op9_quality_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
+    "op8_kneser_ney": op8_kneser_ney,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
