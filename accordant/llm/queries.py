@@ -8,11 +8,13 @@ from accordant.llm.linededup import op6_line_dedup
 from accordant.llm.packing import op10_best_fit_packing
 from accordant.llm.quality import op9_quality_rules
 from accordant.llm.simhash import op1_simhash
+from accordant.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op4_decontamination": op4_decontamination,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_kneser_ney": op8_kneser_ney,
     "op9_quality_rules": op9_quality_rules,
     "op10_best_fit_packing": op10_best_fit_packing,
