@@ -38,8 +38,9 @@ def _exists(spark: SparkSession, pattern: str) -> bool:
 def _typed(raw: DataFrame) -> DataFrame:
     """Explodes objects to fields; tags come from the JSON text of each value, so 1 and 1.0 stay apart."""
     fields = raw.withColumns({"v": F.try_parse_json("value"), "texts": F.from_json("value", "map<string,string>")})
-    one = fields.where(F.schema_of_variant("v").startswith("OBJECT")).select("assay", "role", "model", "run_type", "record", "v", F.explode("texts").alias("field", "text"))
-    item = F.expr("try_variant_get(v, concat('$[\"', replace(field, '\"', '\\\\\"'), '\"]'), 'variant')")
+    objects = fields.where(F.schema_of_variant("v").startswith("OBJECT"))
+    one = objects.select("assay", "role", "model", "run_type", "record", "texts", F.explode(F.col("v").cast("map<string,variant>")).alias("field", "item"))
+    one, item = one.withColumn("text", F.try_element_at("texts", F.col("field"))), F.col("item")
     kind = F.schema_of_variant(item)
     tag = (
         F.when(kind == "STRING", "str").when(kind == "BOOLEAN", "bool").when(kind == "BIGINT", "int")
