@@ -59,13 +59,18 @@ def segment_keys(line: Column) -> list[Column]:
 
 
 def within_one(x: Column, y: Column) -> Column:
-    """Whether two arrays of characters, whose lengths differ by one at most, are within one edit.
+    """Whether two strings, whose lengths differ by one at most, are within one edit.
 
     Bit d of a state says that, after the characters of y so far, as many of x plus d - 1 are read; the band is three
     bits wide. r0 has what is reached without an edit, r1 with one at most.
     """
 
-    def step(s: Column, j: Column) -> Column:
+    def automaton(x: Column, y: Column) -> Column:
+        last = F.aggregate(F.sequence(F.lit(0), F.size(y) - 1), start, lambda s, j: step(x, y, s, j), lambda s: s["r1"])
+        end = F.size(x) - F.size(y)
+        return F.when(end == 0, last.bitwiseAND(F.lit(2)) > 0).when(end == 1, last.bitwiseAND(F.lit(4)) > 0).when(end == -1, last.bitwiseAND(F.lit(1)) > 0).otherwise(False)
+
+    def step(x: Column, y: Column, s: Column, j: Column) -> Column:
         bit = lambda d: F.when(F.coalesce(F.get(x, j + d - 1) == F.get(y, j), F.lit(False)), 1 << d).otherwise(0)
         same = bit(0) + bit(1) + bit(2)
         r0 = s["r0"].bitwiseAND(same)
@@ -73,10 +78,9 @@ def within_one(x: Column, y: Column) -> Column:
         return F.struct(r0.alias("r0"), r1.alias("r1"))
 
     start = F.struct(F.lit(2).alias("r0"), F.lit(6).alias("r1"))
-    steps = F.sequence(F.lit(0), F.size(y) - 1)
-    last = F.aggregate(steps, start, step, lambda s: s["r1"])
-    end = F.size(x) - F.size(y)
-    return F.when(end == 0, last.bitwiseAND(F.lit(2)) > 0).when(end == 1, last.bitwiseAND(F.lit(4)) > 0).when(end == -1, last.bitwiseAND(F.lit(1)) > 0).otherwise(False)
+    # bound as variables, so that each string is taken apart once
+    both = F.array(F.struct(characters(x).alias("x"), characters(y).alias("y")))
+    return F.transform(both, lambda b: automaton(b["x"], b["y"]))[0]
 
 
 def characters(line: Column) -> Column:
@@ -120,7 +124,7 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     pairs = few.where("own").select("k", F.col("id").alias("u")).join(few.select("k", F.col("id").alias("v"), "own"), "k")
     pairs = pairs.where("u < v or (u > v and not own)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     sides = pairs.join(texts.selectExpr("id u", "crowded cu", "line lu"), "u").join(texts.selectExpr("id v", "crowded cv", "line lv"), "v").where("not (cu and cv)")
-    close = scratch.keep(sides.withColumns({"lu": characters(F.col("lu")), "lv": characters(F.col("lv"))}).where(within_one(F.col("lu"), F.col("lv"))).select("u", "v"), "close")
+    close = scratch.keep(sides.where(within_one(F.col("lu"), F.col("lv"))).select("u", "v"), "close")
     links, counts = close, close.selectExpr("u id").unionAll(close.selectExpr("v id")).groupBy("id").agg(F.count("*").alias("n_links"))
     crowd = texts.where("crowded")
     if not crowd.isEmpty():
