@@ -30,8 +30,9 @@ from accordant.llm.shared import Scratch, crc32_of, map_arrow
 #: No text has a word with white space, so these two can't be words.
 BEGIN, END = b"\n<", b"\n>"
 #: Characters of text for each range of hashes; of tokens that a worker handles at once; of distinct pairs a task holds.
-RANGE_CHARS, BLOCK_TOKENS, HELD_PAIRS = 12_000_000, 400_000, 1_500_000
-PAIR_FIELDS = (("hash", "<u8"), ("count", "<u4"))
+RANGE_CHARS, BLOCK_TOKENS, HELD_PAIRS = 24_000_000, 400_000, 3_000_000
+#: Counts of 255 and more stand in two columns of their own: the entry's number and the count.
+PAIR_FIELDS = (("hash", "<u8"), ("small", "u1"), ("at", "<u8"), ("count", "<u8"))
 WORD_FIELDS = (("hash", "<u8"), ("raw", "<u8"), ("left", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8"), ("follow", "<u8"))
 PACKED = "kind string, part int, blob binary"
 
@@ -64,19 +65,41 @@ def tokens(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
-def packed(columns: list[np.ndarray]) -> bytes:
-    """Columns of unsigned integers, the first in order; differences of the first compress."""
-    first = np.diff(columns[0], prepend=np.uint64(0))
-    body = b"".join([first.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), *(c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns[1:])])
-    return zstandard.ZstdCompressor(level=1).compress(len(columns).to_bytes(8, "little") + body)
+def _squeezed(column: np.ndarray, ordered: bool = False) -> bytes:
+    """Numbers byte by byte, so equal bytes lie together; of ordered ones the differences."""
+    body = np.diff(column, prepend=column.dtype.type(0)) if ordered else column
+    return body.view(np.uint8).reshape(-1, column.itemsize).T.tobytes()
 
 
-def unpacked(blob: bytes) -> list[np.ndarray]:
+def packed(columns: list[np.ndarray], ordered: tuple[int, ...] = (0,)) -> bytes:
+    """Columns of unsigned integers of any lengths and widths; those of `ordered` are in order."""
+    head = np.array([len(columns), *(x for c in columns for x in (len(c), c.itemsize))], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(_squeezed(c, k in ordered) for k, c in enumerate(columns)))
+
+
+def unpacked(blob: bytes, ordered: tuple[int, ...] = (0,)) -> list[np.ndarray]:
     body = zstandard.ZstdDecompressor().decompress(blob)
     count = int.from_bytes(body[:8], "little")
-    n = (len(body) - 8) // (8 * count)
-    columns = [np.ascontiguousarray(np.frombuffer(body, np.uint8, 8 * n, 8 + 8 * n * k).reshape(8, n).T).view("<u8").reshape(n) for k in range(count)]
-    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]]
+    at, out = 8 + 16 * count, []
+    for k, (n, width) in enumerate(np.frombuffer(body, "<i8", 2 * count, 8).reshape(-1, 2).tolist()):
+        column = np.ascontiguousarray(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T).view(f"<u{width}").reshape(n)
+        out.append(np.cumsum(column, dtype=column.dtype) if k in ordered else column)
+        at += n * width
+    return out
+
+
+def packed_pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> bytes:
+    """Pairs in order of the left word, words as numbers in a list of the blob's own."""
+    words, at = np.unique(np.concatenate((left, right)), return_inverse=True)
+    first, second = at[: len(left)], at[len(left) :]
+    order = np.argsort(first, kind="stable")
+    return packed([words, first[order].astype("<u4"), second[order].astype("<u4"), n[order].astype("<u4")], (0, 1))
+
+
+def unpacked_pairs(blob: bytes) -> list[np.ndarray]:
+    """Hash, left, right, count."""
+    words, first, second, n = unpacked(blob, (0, 1))
+    return [pair_hash(words[first], words[second]), words[first], words[second], n.astype(np.uint64)]
 
 
 def summed(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -88,10 +111,15 @@ def summed(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.n
 
 
 def _rows(kind: str, parts: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A packed row for each range that has keys; keys are in order."""
+    """A packed row for each range that has keys; keys are in order, and are made again from a pair's words."""
     edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-    found = [(p, packed([c[a:b] for c in (keys, *columns)])) for p, a, b in zip(range(parts), edges, edges[1:]) if a < b]
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(found), pa.string()), pa.array([p for p, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary())], ["kind", "part", "blob"])
+    blob = (lambda a, b: packed_pairs(*[c[a:b] for c in columns])) if kind == "pair" else (lambda a, b: packed([c[a:b] for c in (keys, *columns)]))
+    found = [(p, blob(a, b)) for p, a, b in zip(range(parts), edges, edges[1:]) if a < b]
+    return _table([kind] * len(found), [p for p, _ in found], [b for _, b in found])
+
+
+def _table(kinds: list[str], parts: list[int], blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "part", "blob"])
 
 
 def _counted(parts: int):
@@ -135,16 +163,19 @@ def _counted(parts: int):
     return count
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list[np.ndarray]]]]:
-    """Unpacked rows of each part; rows come in order of part."""
+def _groups(batches: Iterator[pa.RecordBatch], unpack) -> Iterator[tuple[int | str, list[list[np.ndarray]] | bytes]]:
+    """Unpacked rows of each part; rows come in order of part. Rows of sums come out as they are, with their kind for a part."""
     part, held = None, []
     for batch in batches:
-        for p, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        for kind, p, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind.startswith("sums"):
+                yield kind, blob
+                continue
             if p != part and held:
                 yield part, held
                 held = []
             part = p
-            held.append(unpacked(blob))
+            held.append(unpack(blob))
     if held:
         yield part, held
 
@@ -153,14 +184,14 @@ def _place(uri: str) -> tuple[pfs.FileSystem, str]:
     return pfs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pfs.LocalFileSystem(), uri)
 
 
-def write_arrays(uri: str, fields: tuple, columns: list[np.ndarray]) -> None:
-    """One file: the number of entries, then the columns. It appears whole, whichever attempt writes it."""
+def write_arrays(uri: str, columns: list[np.ndarray]) -> None:
+    """One file: the number of entries of each column, then the columns. It appears whole, whichever attempt writes it."""
     fs, path = _place(uri)
     own = f"{path}.{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as out:
-        out.write(len(columns[0]).to_bytes(8, "little"))
-        for (_, kind), column in zip(fields, columns):
-            out.write(np.minimum(column, np.iinfo(kind).max).astype(kind).tobytes())
+        out.write(np.array([len(c) for c in columns], "<i8").tobytes())
+        for column in columns:
+            out.write(column.tobytes())
     fs.move(own, path)
 
 
@@ -177,8 +208,8 @@ def map_arrays(uri: str, fields: tuple) -> dict[str, np.ndarray] | None:
     whole = np.memmap(local or path, np.uint8, "r")
     if local:
         os.unlink(local)
-    n, at, out = int.from_bytes(whole[:8].tobytes(), "little"), 8, {}
-    for name, kind in fields:
+    at, out = 8 * len(fields), {}
+    for (name, kind), n in zip(fields, whole[:at].view("<i8").tolist()):
         size = n * np.dtype(kind).itemsize
         out[name] = whole[at : at + size].view(kind)
         at += size
@@ -192,33 +223,37 @@ def classes(counts: np.ndarray, up_to: int) -> list[np.ndarray]:
 
 def _pair_files(folder: str, parts: int):
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, held in _groups(batches):
+        for part, held in _groups(batches, unpacked_pairs):
             keys, left, right, n = (np.concatenate(c) for c in zip(*held))
             del held[:]
             keys, at, (n,) = summed(keys, [n])
             left, right = left[at], right[at]
-            write_arrays(f"{folder}/pairs-{part}", PAIR_FIELDS, [keys, n])
+            large = np.flatnonzero(n >= 255)
+            write_arrays(f"{folder}/pairs-{part}", [keys, np.minimum(n, 255).astype(np.uint8), large.astype("<u8"), n[large]])
             zero, one = np.zeros(len(n), np.uint64), np.ones(len(n), np.uint64)
             # raw, left, n1, n2, n3, follow: of the right word, then of the left one
             values = [np.concatenate(c) for c in zip((n, one, zero, zero, zero, zero), (zero, zero, *classes(n, 3), n))]
             words, _, sums = summed(np.concatenate((right, left)), values)
             yield _rows("word", parts, words, sums)
             tally = [int((n == k).sum()) for k in range(1, 5)] + [len(n)]
-            yield pa.RecordBatch.from_arrays([pa.array(["sums"]), pa.array([part], pa.int32()), pa.array([np.array(tally, "<i8").tobytes()], pa.binary())], ["kind", "part", "blob"])
+            yield _table(["sums of pairs"], [part], [np.array(tally, "<i8").tobytes()])
 
     return reduce
 
 
 def _word_files(folder: str):
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, held in _groups(batches):
+        for part, held in _groups(batches, unpacked):
+            if isinstance(part, str):
+                yield _table([part], [0], [held])
+                continue
             columns = [np.concatenate(c) for c in zip(*held)]
             del held[:]
             words, _, sums = summed(columns[0], columns[1:])
-            write_arrays(f"{folder}/words-{part}", WORD_FIELDS, [words, *sums])
+            write_arrays(f"{folder}/words-{part}", [words, *sums])
             raw, left = sums[0], sums[1]
             tally = [int((left == k).sum()) for k in range(1, 5)] + [int((left >= 3).sum()), int(left.sum()), int(raw.sum()), int((raw > 0).sum())]
-            yield pa.RecordBatch.from_arrays([pa.array(["sums"]), pa.array([part], pa.int32()), pa.array([np.array(tally, "<i8").tobytes()], pa.binary())], ["kind", "part", "blob"])
+            yield _table(["sums of words"], [part], [np.array(tally, "<i8").tobytes()])
 
     return reduce
 
@@ -256,14 +291,12 @@ def train(docs: DataFrame, scratch: Scratch) -> Model:
 
     def ranges(rows: DataFrame) -> DataFrame:
         # what one range gathers is bounded by its width; sorting keeps its rows together
-        return rows.repartition(parts, "part").sortWithinPartitions("part")
+        return rows.repartition(parts, "part").sortWithinPartitions("part", "kind")
 
     counted = map_arrow(texts, _counted(parts), PACKED)
-    told = scratch.keep(map_arrow(ranges(counted), _pair_files(folder, parts), PACKED), "pairs")
-    n_pairs = [np.frombuffer(r["blob"], "<i8") for r in told.where("kind = 'sums'").collect()]
-    words = map_arrow(ranges(told.where("kind = 'word'")), _word_files(folder), PACKED)
-    n_words = [np.frombuffer(r["blob"], "<i8") for r in words.collect()]
-    scratch.drop("pairs")
+    words = map_arrow(ranges(map_arrow(ranges(counted), _pair_files(folder, parts), PACKED)), _word_files(folder), PACKED)
+    told = words.collect()  # a few sums for each range
+    n_pairs, n_words = ([np.frombuffer(r["blob"], "<i8") for r in told if r["kind"] == f"sums of {x}"] for x in ("pairs", "words"))
     pair = np.sum(n_pairs, axis=0).tolist() if n_pairs else [0] * 5
     word = np.sum(n_words, axis=0).tolist() if n_words else [0] * 8
     return Model(folder, parts, discounts(pair[:4]), discounts(word[:4]), [word[0], word[1], word[4]], word[5], word[6], word[7])
@@ -278,7 +311,8 @@ class Mapped:
 
     def look_up(self, kind: str, fields: tuple, hashes: np.ndarray) -> dict[str, np.ndarray]:
         """Values for hashes in order; 0 where a hash is unknown."""
-        out = {name: np.zeros(len(hashes), np.int64) for name, _ in fields[1:]}
+        names = ["count"] if kind == "pairs" else [name for name, _ in fields[1:]]
+        out = {name: np.zeros(len(hashes), np.int64) for name in names}
         edges = np.searchsorted(part_of(hashes, self.model.parts), np.arange(self.model.parts + 1))
         for part, (a, b) in enumerate(zip(edges, edges[1:])):
             if a == b:
@@ -289,8 +323,13 @@ class Mapped:
                 continue
             at = np.minimum(np.searchsorted(file["hash"], hashes[a:b]), len(file["hash"]) - 1)
             hit = np.flatnonzero(file["hash"][at] == hashes[a:b])
-            for name in out:
-                out[name][a + hit] = file[name][at[hit]]
+            at = at[hit]
+            for name in names:
+                out[name][a + hit] = file["small" if kind == "pairs" else name][at]
+            if kind == "pairs" and len(file["at"]):
+                place = np.minimum(np.searchsorted(file["at"], at), len(file["at"]) - 1)
+                large = file["at"][place] == at
+                out["count"][a + hit[large]] = file["count"][place[large]]
         return out
 
     def log10(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
