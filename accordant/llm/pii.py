@@ -113,23 +113,27 @@ def disclosing(base: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, terms): the terms of each document that disclose one of its entities.
 
     base: (doc_id, text, base) of documents with a span; docs: all documents. Counts are of documents by doc_id. An
-    entity of fewer than LEAST_DOCS documents, or of all, has no term that tells anything.
+    entity of fewer than LEAST_DOCS documents, or of all, has no term that tells anything. Nor has a term that stands
+    near its entity in fewer than LEAST_DOCS different lines: copies of one text are no evidence.
     """
     line = F.explode(F.split("text", "\n"))
     near = base.select("doc_id", F.transform("base", lambda s: F.named_struct(F.lit("entity"), entity_of(s), F.lit("value"), s["value"])).alias("spans"), line.alias("line"))
     near = near.select("doc_id", "line", F.filter("spans", lambda s: F.contains(F.col("line"), s["value"])).alias("spans")).where(F.size("spans") > 0)
     plain = F.aggregate("spans", F.col("line"), lambda x, s: F.replace(x, s["value"], F.lit(" ")))
-    near = scratch.keep(near.select("doc_id", F.array_distinct(F.transform("spans", lambda s: s["entity"])).alias("entities"), terms_of(plain).alias("terms")), "near")
+    near = scratch.keep(near.select("doc_id", F.xxhash64("line").alias("line"), F.array_distinct(F.transform("spans", lambda s: s["entity"])).alias("entities"), terms_of(plain).alias("terms")), "near")
     entities = near.select("doc_id", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= LEAST_DOCS)
     entities = scratch.keep(entities, "entities")
-    none = docs.sparkSession.createDataFrame([], "doc_id long, terms array<string>")
+    none = near.select("doc_id", F.col("terms")).where(F.lit(False))
     if entities.isEmpty():
         return none
-    by_entity = near.select("doc_id", F.explode("entities").alias("entity"), "terms").join(entities, "entity")
-    both = by_entity.select("doc_id", "entity", "n_entity", F.explode("terms").alias("term")).distinct()
-    both = scratch.keep(both, "both")
+    by_entity = near.select("doc_id", "line", F.explode("entities").alias("entity"), "terms").join(entities, "entity")
+    met = scratch.keep(by_entity.select("doc_id", "line", "entity", "n_entity", F.explode("terms").alias("term")), "met")
+    both = scratch.keep(met.select("doc_id", "entity", "n_entity", "term").distinct(), "both")
+    apart = met.select("entity", "term", "line").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
     pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= LEAST_DOCS)
-    pairs = scratch.keep(pairs, "pairs")
+    pairs = scratch.keep(pairs.join(apart, ["entity", "term"], "left_semi"), "pairs")
+    if pairs.isEmpty():
+        return none
     asked = pairs.select("term").distinct()
     terms = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(asked, "term", "left_semi")
     total = docs.count()

@@ -9,6 +9,7 @@ explain a label are found without being labelled.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from accordant.llm.shared import Scratch, crc32_of, map_arrow
 
 #: Labelled rows, by least hash of their id, that the classifier is fitted on; features that get a weight.
-FIT_ROWS, FIT_FEATURES = 20_000, 4_000
+FIT_ROWS, FIT_FEATURES = 10_000, 4_000
 #: Documents that a feature must be in to get a weight, and standard deviations by which toxic ones must be more.
 LEAST_DOCS, LEAST_LIFT = 4, 3.5
 #: Characters of a word's beginnings.
@@ -54,13 +55,18 @@ class Weights(dict):
         return found
 
 
-def _sentence_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each feature of the task's texts how many have it, and how many of these are toxic."""
+    counts: tuple[Counter, Counter] = Counter(), Counter()
     for batch in batches:
-        for doc, toxic, text in zip(*(c.to_pylist() for c in batch.columns)):
-            found = [[f for w in sorted(set(s)) for f in features(w)] for s in sentences(text)]
-            n = len(found)
-            columns = [pa.array([doc] * n, pa.int64()), pa.array([toxic] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "toxic", "sentence", "words"])
+        for toxic, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            words = {w for s in sentences(text) for w in s}
+            counts[min(toxic, 1)].update({f for w in words for f in features(w)})
+    every = list(counts[0].keys() | counts[1].keys())
+    for at in range(0, len(every), 50_000):
+        part = every[at : at + 50_000]
+        columns = [pa.array(part), pa.array([counts[0][f] + counts[1][f] for f in part], pa.int64()), pa.array([counts[1][f] for f in part], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["feature", "n", "k"])
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -97,35 +103,35 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[float, di
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = scratch.keep(map_arrow(texts.select("doc_id", "toxic", "text"), _sentence_rows, "doc_id long, toxic int, sentence int, words array<string>"), "sentences")
-    totals = {r["doc_id"]: (r["toxic"], r["n"]) for r in rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.count("*").alias("n")).collect()}
-    n_toxic = sum(t for t, _ in totals.values())
-    if not n_toxic or n_toxic == len(totals):
+    sample = scratch.keep(texts.select("doc_id", "toxic", "text"), "sample")
+    totals = sample.agg(F.count("*"), F.sum("toxic")).first()
+    if not totals[1] or totals[1] >= totals[0]:
         return -12.0, {}
-    words = rows.select("doc_id", "toxic", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("k"))
-    rate = n_toxic / len(totals)
+    rate = totals[1] / totals[0]
+    counted = map_arrow(sample, _feature_counts, "feature string, n long, k long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     lift = (F.col("k") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    best = [r["word"] for r in words.where((F.col("n") >= LEAST_DOCS) & (lift >= LEAST_LIFT)).orderBy(lift.desc(), "word").limit(FIT_FEATURES).select("word").collect()]
-    number = {w: i for i, w in enumerate(best)}
-    held = rows.sparkSession.sparkContext.broadcast(number)  # of FIT_FEATURES features
+    best = counted.where((F.col("n") >= LEAST_DOCS) & (lift >= LEAST_LIFT)).orderBy(lift.desc(), "feature").limit(FIT_FEATURES)
+    number = {r["feature"]: i for i, r in enumerate(best.select("feature").collect())}
+    held = docs.sparkSession.sparkContext.broadcast(number)  # of FIT_FEATURES features
 
     def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = held.value
         for batch in batches:
-            found = [[of[w] for w in ws if w in of] for ws in batch.column(3).to_pylist()]
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "words"])
-            yield out.filter(pa.array([bool(x) for x in found], pa.bool_()))
-
-    having = map_arrow(rows, weighted, "doc_id long, words array<int>").collect()
-    place = {d: i for i, d in enumerate(totals)}
-    doc = np.array([place[r["doc_id"]] for r in having], np.int64)
-    sizes = [len(r["words"]) for r in having]
-    word = np.array([w for r in having for w in r["words"]], np.int64)
-    sentence = np.repeat(np.arange(len(having)), sizes)
-    toxic = np.array([t for t, _ in totals.values()])
-    plain = np.array([n for _, n in totals.values()]) - np.bincount(doc, minlength=len(totals))
-    bias, weights = fit_noisy_or(toxic, plain, doc, sentence, word, len(best))
-    return bias, {w: float(weights[i]) for w, i in number.items()}
+            plain, having = [], []
+            for text in batch.column(2).to_pylist():
+                found = [[of[f] for w in set(s) for f in features(w) if f in of] for s in sentences(text)]
+                having.append([x for x in found if x])
+                plain.append(len(found) - len(having[-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(plain, pa.int32()), pa.array(having, pa.list_(pa.list_(pa.int32())))], ["toxic", "plain", "having"])
+
+    rows = map_arrow(sample, weighted, "toxic int, plain int, having array<array<int>>").collect()
+    scratch.drop("sample")
+    doc = np.array([d for d, r in enumerate(rows) for _ in r["having"]], np.int64)
+    found = [s for r in rows for s in r["having"]]
+    sentence = np.repeat(np.arange(len(found)), [len(s) for s in found])
+    word = np.array([w for s in found for w in s], np.int64)
+    bias, weights = fit_noisy_or(np.array([r["toxic"] for r in rows]), np.array([r["plain"] for r in rows]), doc, sentence, word, len(number))
+    return bias, {f: float(weights[i]) for f, i in number.items()}
 
 
 def offending(text: bytes, bias: float, weights: Weights) -> list[dict]:
