@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.shared import BLANK_CHARS, Scratch, connected_components
+from accordant.llm.shared import BLANK_CHARS, Scratch, connected_components, sent_if_small
 
 #: Characters that a line must have, without white space around it, to take part; shorter ones repeat by chance.
 LEAST_CHARS = 20
 #: Different lines under one segment that are compared in pairs.
 BUCKET = 200
+#: Rows of hashes, and removed lines, up to which they are sent to all tasks; beyond that texts are shuffled to meet them.
+SENT_HASHES, SENT_LINES = 500_000, 1_000_000
 #: Numbers above any line's.
 ROW = 1 << 31
 
@@ -117,7 +119,7 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     buckets = posted.groupBy("k").agg(F.count("*").alias("size"), F.sum(F.col("own").cast("int")).alias("owns")).where("size > 1 and owns > 0")
     buckets = scratch.keep(buckets.select("k", "size"), "buckets")
     met = scratch.keep(posted.join(buckets, "k").withColumn("crowded", F.col("size") > BUCKET), "met")
-    needed = met.groupBy("h1", "h2").agg(F.max("crowded").alias("crowded"))
+    needed = sent_if_small(scratch.keep(met.groupBy("h1", "h2").agg(F.max("crowded").alias("crowded")), "needed"), SENT_HASHES)
     texts = scratch.keep(found.select("h1", "h2", "line").join(needed, ["h1", "h2"]).groupBy("h1", "h2", "crowded").agg(F.first("line").alias("line")).select(node().alias("id"), "crowded", "line"), "texts")
 
     few = met.where("not crowded").select("k", node().alias("id"), "own")
@@ -155,12 +157,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     first_doc = place_doc(F.col("keep_at"))
     first_line = (F.col("keep_at") - first_doc.cast("decimal(20,0)") * F.lit(ROW).cast("decimal(10,0)")).cast("int")
     entry = F.struct(F.col("line_no").alias("line"), first_doc.alias("first_doc"), first_line.alias("first_line"))
-    return scratch.keep(met.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list(F.when(F.col("again"), entry))).alias("removed")), "removed")
+    out = scratch.keep(met.groupBy("doc_id").agg(F.sum("n_links").alias("n_links"), F.sort_array(F.collect_list(F.when(F.col("again"), entry))).alias("removed")), "removed")
+    scratch.drop_all_but("removed")
+    return out
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """`docs` with its columns; texts without the lines that repeat an earlier one. Texts without such lines are as before."""
-    gone = repeated_lines(docs).where(F.size("removed") > 0).select(F.col("doc_id").alias("_l_doc"), F.transform("removed", lambda x: x["line"]).alias("_l_gone"))
+    found = repeated_lines(docs).where(F.size("removed") > 0)
+    gone = found.select(F.col("doc_id").alias("_l_doc"), F.transform("removed", lambda x: x["line"]).alias("_l_gone"))
+    gone = sent_if_small(gone, SENT_LINES, F.size("_l_gone") + 4)
     joined = docs.join(gone, docs["doc_id"] == gone["_l_doc"], "left")
 
     def cut(all_lines: Column) -> Column:

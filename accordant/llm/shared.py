@@ -44,15 +44,28 @@ class Scratch:
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.folder))
         self._fs.deleteOnExit(self._path(self.folder))
+        self._names: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.option("compression", "zstd").parquet(path)
+        self._names.append(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
         self._fs.delete(self._path(f"{self.folder}/{name}"), True)
 
+    def drop_all_but(self, *names: str) -> None:
+        for name in self._names:
+            if name not in names:
+                self.drop(name)
+
+
+def sent_if_small(table: DataFrame, most: int, size: Column | None = None) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most `most` rows (or its sum of `size` is at most that)."""
+    found = table.agg(F.coalesce(F.sum(size), F.lit(0)) if size is not None else F.count("*")).first()[0]
+    return F.broadcast(table) if found <= most else table
+
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """df.mapInArrow, with this package sent to executors that don't have it installed."""
@@ -121,4 +134,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     if labels is None:
         kind = pairs.schema["u"].dataType.simpleString()
         return pairs.select(F.col("u").cast(kind).alias("node"), F.col("v").cast(kind).alias("component")).limit(0)
-    return scratch.keep(labels, "labels")
+    out = scratch.keep(labels, "labels")
+    scratch.drop_all_but("labels")
+    return out
