@@ -84,7 +84,7 @@ def located(gaps: Column, matches: Column, kind: str) -> Column:
 
 
 def with_base(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base): spans that the patterns find, by kind and start."""
+    """(row, doc_id, text, base): spans that the patterns find, by kind and start."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
     for kind, pattern in PATTERNS.items():
@@ -95,7 +95,8 @@ def with_base(docs: DataFrame) -> DataFrame:
         any_holds = F.exists(matches, lambda m: holds(kind, m))
         return F.when(any_holds, located(F.split("text", PATTERNS[kind]), matches, kind)).otherwise(F.array().cast(SPANS))
 
-    return out.select("doc_id", "text", F.concat(*map(found, PATTERNS)).alias("base"))
+    # the row number keeps a filter on `base` above this step; pushed below, it would run each pattern again
+    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.concat(*map(found, PATTERNS)).alias("base"))
 
 
 def entity_of(span: Column) -> Column:
