@@ -45,6 +45,7 @@ def with_counts(docs: DataFrame, text: str = "text", prefix: str = "_q_") -> Dat
     })
     long = lambda c: c.cast("long")
     return out.withColumns({
+        f"{p}row": F.monotonically_increasing_id(),
         f"{p}n_words": long(n),
         f"{p}word_chars": long(F.length(f"{p}joined")),
         f"{p}n_symbols": long(F.regexp_count(f"{p}joined", F.lit(SYMBOLS))),
@@ -135,31 +136,40 @@ def fit(counts: list[tuple[tuple[int, ...], int]], rules: list[str], rounds: int
     return VoteModel(prior, table)
 
 
-def judged(docs: DataFrame, text: str = "text", carry: bool = True) -> DataFrame:
-    """Columns of `docs` and _q_ counts, _q_base_failed, _q_posterior and _q_kept.
-
-    Counts are taken once and written with the rows (carry) or with doc_id alone; vote patterns are counted in Spark
-    and only these counts, bounded by the number of rules, reach the driver. Nulls: a null text is empty and fails
-    the base test. Repeated rows and ids are judged row by row; an empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    counted = with_counts(docs, text)
-    if not carry:
-        counted = counted.select("doc_id", *[c for c in counted.columns if c.startswith("_q_")])
-    counted = Scratch(spark, "quality").keep(counted, "counts")
+def fitted(counted: DataFrame) -> VoteModel:
+    """The model of rows with counts: vote patterns are counted in Spark and these counts alone reach the driver."""
     named = votes()
     patterns = counted.select(*[v.alias(r) for r, v in named.items()]).groupBy(*named).count().collect()
-    model = fit([(tuple(row[r] for r in named), row["count"]) for row in patterns], list(named))
-    out = counted.withColumns({"_q_base_failed": base_failed(), "_q_posterior": model.posterior(named)})
+    return fit([(tuple(row[r] for r in named), row["count"]) for row in patterns], list(named))
+
+
+def with_verdict(counted: DataFrame, model: VoteModel) -> DataFrame:
+    """Adds _q_base_failed, _q_posterior and _q_kept to rows with counts."""
+    out = counted.withColumns({"_q_base_failed": base_failed(), "_q_posterior": model.posterior(votes())})
     return out.withColumn("_q_kept", ~F.col("_q_base_failed") & (F.col("_q_posterior") >= 0.5))
 
 
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, counts (_q_...), _q_base_failed, _q_posterior and _q_kept of each row of `docs`; counts are taken once and stored.
+
+    Nulls: a null text is empty and fails the base test. Repeated rows and ids are judged row by row; an empty table
+    gives an empty table.
+    """
+    counted = with_counts(docs.select("doc_id", "text"), "text").drop("text")
+    counted = Scratch(docs.sparkSession, "quality").keep(counted, "counts")
+    return with_verdict(counted, fitted(counted))
+
+
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with its columns."""
-    return judged(docs).where("_q_kept").select(*docs.columns)
+    """The rows of `docs` that are kept, with its columns. Counts are taken twice, so no text is stored or shuffled.
+
+    The row number in the condition keeps the filter above the counts; pushed below, it would take them again and again.
+    """
+    model = fitted(with_counts(docs.select("text")))
+    return with_verdict(with_counts(docs), model).where("_q_kept and _q_row >= 0").select(*docs.columns)
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = judged(docs, carry=False)
+    out = judged(docs)
     return out.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in COUNTS], F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_posterior").alias("posterior"))
