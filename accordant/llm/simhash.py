@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.shared import Scratch, connected_components, map_arrow
+from accordant.llm.shared import Scratch, connected_components, map_arrow, sent_if_small
 
 SHINGLE, SEED, MAX_BITS, BYTES = 4, 42, 4, 8
 #: Bytes that a pair within MAX_BITS shares at the least.
 LEAST_SHARED = BYTES - MAX_BITS
 #: Fingerprints of a posting that one task compares with each other; longer postings are dealt out as pairs of blocks.
 BLOCK = 4096
+#: Ids of documents to drop that are sent to all tasks at most; beyond that documents are shuffled to meet them.
+SENT_IDS = 500_000
 #: Rows that a task gathers before it compares, beyond the posting it is in.
 CHUNK = 100_000
 
@@ -172,15 +174,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = connected_components(links, "simhash-components")
     named = nodes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = scratch.keep(named, "named")
+    scratch.drop_all_but("named", "marked")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the least doc_id, with the columns of `docs`; rows without a doc_id stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each component the document with the least doc_id, with the columns of `docs`.
+
+    Of rows that repeat an id one stays, if any; rows without an id stay.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-first")
+    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null")
+    ids = scratch.keep(found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("n")).where("not first or n > 1"), "ids")
+    out = docs.join(sent_if_small(ids.select("doc_id"), SENT_IDS), "doc_id", "left_anti").select(*docs.columns)
+    repeated = ids.where("first and n > 1").select("doc_id")
+    if not repeated.isEmpty():
+        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+    return out
 
 
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
