@@ -82,8 +82,8 @@ def validated(records: DataFrame, template: dict, column: str = "value") -> Data
     return found.withColumn("parsed", F.when(F.size("problems") == 0, parsed))
 
 
-#: Fixed text of the two prompts.
-MIGRATE = "Migrate the following legacy metadata record to the CEDAR template.\n\nCEDAR Template IRI: {iri}\n\nLegacy metadata:\n```json\n{record}\n```"
+#: Fixed text of the two prompts; kind names the system that templates come from.
+MIGRATE = "Migrate the following legacy metadata record to the {kind} template.\n\n{kind} Template IRI: {iri}\n\nLegacy metadata:\n```json\n{record}\n```"
 CORRECT = (
     "Given the following legacy metadata: {record}.\nReport a new and corrected metadata sample where the following template is as complete as possible:\n{fields}.\n"
     "Check if the field values and field names make sense. If no match is found for a field name, match it to an ontology. "
@@ -92,8 +92,8 @@ CORRECT = (
 )
 
 
-def agent_prompt(record: dict, iri: str) -> str:
-    return MIGRATE.format(iri=iri, record=json.dumps(record, indent=2))
+def agent_prompt(record: dict, iri: str, kind: str = "target") -> str:
+    return MIGRATE.format(kind=kind, iri=iri, record=json.dumps(record, indent=2))
 
 
 def baseline_prompt(record: dict, template: dict) -> str:
