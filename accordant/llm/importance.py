@@ -30,7 +30,7 @@ PIECES = re.compile(rb"[A-Za-z0-9_\x80-\xff]+|[^A-Za-z0-9_\x80-\xff\s]+")
 def buckets_of(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     words = PIECES.findall((text or b"").lower())
     one = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return (np.concatenate((one, pair_hash(one[:-1], one[1:]))) % np.uint64(BUCKETS)).astype(np.int64)
+    return (np.concatenate((one >> np.uint64(16), pair_hash(one[:-1], one[1:]))) % np.uint64(BUCKETS)).astype(np.int64)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
