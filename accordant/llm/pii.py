@@ -1,10 +1,10 @@
 """PII spans: fixed patterns, and terms that give away a protected entity by what the corpus tells of them together.
 
-Protected entities are the values that the patterns find. A term stands near an entity if it is in the same line. From
-how many documents have the entity, the term and both, the share of the entity's information that the term discloses
-is PMI(term, entity) / IC(entity): 1 where the term is met with the entity alone. Terms from THRESHOLD on become spans
-of kind `term` in the documents where they stand near that entity; all spans are then generalised to their kind's name
-or removed. DataFrame operations only.
+Protected entities are the values that the patterns find, however rare. A term stands near an entity if it is in the
+same line. From how many documents have the entity, the term and both, the share of the entity's information that the
+term discloses is PMI(term, entity) / IC(entity): 1 where the term is met with the entity alone. Counts are smoothed,
+so few lines tell less than many. Terms from THRESHOLD on become spans of kind `term` in all documents, wherever they
+stand; all spans are then generalised to their kind's name or removed. DataFrame operations only.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from accordant.llm.shared import BLANK, Scratch, lower_ascii
+from accordant.llm.shared import BLANK, Scratch, lower_ascii, sent_if_small
 
 #: Fixed patterns, in the order of kinds. Quantifiers are possessive where that can't change a match, so long runs need
 #: no stack; the first part of an email begins at its run's start or where the match before ended.
@@ -25,8 +25,11 @@ PATTERNS = {
 #: A character that a text with a match of the kind has, looked for before the pattern is.
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Share of an entity's information that a term may disclose; documents that term and entity must share to tell.
-THRESHOLD, LEAST_DOCS = 0.9, 3
+#: Share of an entity's information that a term may disclose; lines that the entity's share of all documents weighs as
+#: much as, when the share of the term's documents is estimated.
+THRESHOLD, PRIOR = 0.9, 0.5
+#: Strings that are sent to all tasks at most; beyond that the other side is shuffled to meet them.
+SENT_TERMS = 1_000_000
 #: Characters of a term: shorter words are met everywhere, longer ones are data.
 TERM_CHARS = (3, 40)
 CHUNK = 256
@@ -113,35 +116,35 @@ def terms_of(text: Column) -> Column:
 def disclosing(base: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, terms): the terms of each document that disclose one of its entities.
 
-    base: (doc_id, text, base) of documents with a span; docs: all documents. Counts are of documents by doc_id. An
-    entity of fewer than LEAST_DOCS documents, or of all, has no term that tells anything. Nor has a term that stands
-    near its entity in fewer than LEAST_DOCS different lines: copies of one text are no evidence.
+    base: (doc_id, text, base) of documents with a span; docs: all documents. Counts are of documents by doc_id. Of the
+    documents with a term a share of n_both / n_term has the entity; it is known from `n_lines` different lines, since
+    copies of one text are no evidence, and smoothed by PRIOR lines of the entity's share of all documents. An entity of
+    all documents has no term that tells anything.
     """
     line = F.explode(F.split("text", "\n"))
     near = base.select("doc_id", F.transform("base", lambda s: F.named_struct(F.lit("entity"), entity_of(s), F.lit("value"), s["value"])).alias("spans"), line.alias("line"))
     near = near.select("doc_id", "line", F.filter("spans", lambda s: F.contains(F.col("line"), s["value"])).alias("spans")).where(F.size("spans") > 0)
     plain = F.aggregate("spans", F.col("line"), lambda x, s: F.replace(x, s["value"], F.lit(" ")))
     near = scratch.keep(near.select("doc_id", F.xxhash64("line").alias("line"), F.array_distinct(F.transform("spans", lambda s: s["entity"])).alias("entities"), terms_of(plain).alias("terms")), "near")
-    entities = near.select("doc_id", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= LEAST_DOCS)
-    entities = scratch.keep(entities, "entities")
-    none = near.select("doc_id", F.col("terms")).where(F.lit(False))
-    if entities.isEmpty():
-        return none
-    by_entity = near.select("doc_id", "line", F.explode("entities").alias("entity"), "terms").join(entities, "entity")
-    met = scratch.keep(by_entity.select("doc_id", "line", "entity", "n_entity", F.explode("terms").alias("term")), "met")
-    both = scratch.keep(met.select("doc_id", "entity", "n_entity", "term").distinct(), "both")
-    apart = met.select("entity", "term", "line").distinct().groupBy("entity", "term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
-    pairs = both.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_entity").alias("n_entity")).where(F.col("n_both") >= LEAST_DOCS)
-    pairs = scratch.keep(pairs.join(apart, ["entity", "term"], "left_semi"), "pairs")
-    if pairs.isEmpty():
-        return none
-    asked = pairs.select("term").distinct()
-    terms = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(asked, "term", "left_semi")
-    total = docs.count()
-    information = -F.log2(F.col("n_entity") / F.lit(float(total)))
-    mutual = F.log2(F.col("n_both") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
-    telling = pairs.join(terms, "term").where(information > 0).where(mutual >= THRESHOLD * information).select("entity", "term")
-    return both.join(telling, ["entity", "term"]).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    if near.isEmpty():
+        return near.select("doc_id", "terms")
+    entities = near.select("doc_id", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    met = near.select("doc_id", "line", F.explode("entities").alias("entity"), "terms").select("doc_id", "line", "entity", F.explode("terms").alias("term"))
+    pairs = met.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("n_both"), F.count_distinct("line").alias("n_lines"))
+    pairs = scratch.keep(pairs.join(entities, "entity"), "pairs")
+    words = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
+    total = float(docs.count())
+    of_all = F.col("n_entity") / F.lit(total)
+    of_term = (F.col("n_lines") * F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) + PRIOR * of_all) / (F.col("n_lines") + PRIOR)
+    known = pairs.join(words.groupBy("term").agg(F.count("*").alias("n_term")), "term")
+    telling = known.where(of_all < 1).where(F.log2(of_term / of_all) >= -THRESHOLD * F.log2(of_all)).select("term", "n_term").distinct()
+    telling = scratch.keep(telling, "telling")
+    held = near.select("doc_id", F.explode("terms").alias("term")).distinct().join(telling, "term").select("doc_id", "term", "n_term")
+    held = scratch.keep(held, "held")
+    # terms that stand elsewhere too are looked for in all documents
+    wide = scratch.keep(held.groupBy("term").agg(F.count("*").alias("n"), F.first("n_term").alias("n_term")).where("n < n_term").select("term"), "wide")
+    elsewhere = words.where("doc_id is not null").join(sent_if_small(wide, SENT_TERMS), "term").select("doc_id", "term")
+    return held.select("doc_id", "term").unionAll(elsewhere).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
@@ -150,23 +153,26 @@ def term_spans(docs: DataFrame) -> DataFrame:
     words = located(F.split("text", word), F.regexp_extract_all("text", F.lit(word), F.lit(0)), "term")
     apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     found = F.filter(words, lambda w: F.array_contains("terms", lower_ascii(w["value"])) & apart(w))
-    return docs.select("doc_id", "text", "base", F.concat("base", found).alias("spans"))
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", found)).alias("spans")
+    kept = F.when((F.size("base") > 0) | F.col("terms").isNotNull(), F.col("text")).alias("text")
+    return docs.select("doc_id", kept, "base", spans)
+
+
+def all_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, text, base, spans) for each row of `docs`, stored; without text where there are neither spans nor terms."""
+    found = with_base(docs)
+    having = scratch.keep(found.where(F.size("base") > 0), "having")
+    terms = scratch.keep(disclosing(having.where("doc_id is not null"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch), "terms")
+    return scratch.keep(term_spans(found.join(sent_if_small(terms, SENT_TERMS, F.size("terms")), "doc_id", "left")), "spans")
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, base, spans) for each row of `docs`; spans begin with base ones and end with terms, each by start.
+    """(doc_id, text, base, spans) for each row of `docs` with a span; spans begin with base ones and end with terms, each by start.
 
     Null texts are empty. Rows with a null doc_id, and ids that repeat, get base spans like others; terms are counted by
     rows and given to all rows of an id. An empty table gives an empty table.
     """
-    scratch = Scratch(docs.sparkSession, "pii")
-    found = with_base(docs)
-    having = scratch.keep(found.where(F.size("base") > 0), "having")
-    terms = scratch.keep(disclosing(having.where("doc_id is not null"), docs.select("doc_id", "text"), scratch), "terms")
-    more = term_spans(having.join(terms, "doc_id")).select("doc_id", "text", "base", "spans")
-    same = having.join(terms, "doc_id", "left_anti").select("doc_id", "text", "base", F.col("base").alias("spans"))
-    null = having.where("doc_id is null").limit(0).select("doc_id", "text", "base", F.col("base").alias("spans"))
-    return scratch.keep(more.unionAll(same).unionAll(null), "spans")
+    return all_spans(docs, Scratch(docs.sparkSession, "pii")).where(F.size("spans") > 0)
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -196,9 +202,7 @@ def joined(spans: Column) -> Column:
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = pii_spans(docs)
+    found = all_spans(docs, Scratch(spark, "pii"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    having = found.select("doc_id", *map(count, PATTERNS), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
-    rest = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(having, "doc_id", "left")
-    zero = [F.coalesce(f"n_{kind}", F.lit(0)).cast("long").alias(f"n_{kind}") for kind in PATTERNS]
-    return rest.select("doc_id", *zero, F.coalesce("base_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), "sanitised")
+    clean = F.when(F.size("spans") > 0, sanitised(F.col("text"), F.col("spans"))).alias("sanitised")
+    return found.select("doc_id", *map(count, PATTERNS), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), clean)

@@ -194,6 +194,22 @@ class TestPii:
         clean = pii.pii_spans(documents(spark, rows)).select("doc_id", pii.sanitised(F.col("text"), F.col("spans"))).where("doc_id = 0").first()[1]
         assert clean == "aaaa ask [term] at [email] please\nthe plain line 0"
 
+    def test_terms_of_rare_entities(self, spark):
+        rows = [(0, "ask Zorblatt at z@corp.com please")] + [(10 + i, "please ask the plain others") for i in range(200)]
+        rows += [(300 + i, f"{'abcdefgh'[i] * 4} Quizzle 1.2.3.4") for i in range(8)] + [(400, "a quizzle elsewhere")]
+        found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["spans"]] for r in pii.pii_spans(documents(spark, rows)).collect()}
+        assert found[0] == [("email", "z@corp.com"), ("term", "Zorblatt")]
+        assert found[400] == [("term", "quizzle")] and not any(10 <= i < 300 for i in found)
+
+    def test_terms_on_the_test_tables(self, spark):
+        found = pii.op3_pii(spark, "/root/testdata/sf0.001").collect()
+        assert len(found) == 200 and any("term:" in r["spans"] and r["base_sha256"] != hashlib.sha256(b"").hexdigest() for r in found)
+
+    def test_rows_without_an_id_and_repeated_ones(self, spark, tmp_path):
+        documents(spark, [(None, "x@y.zz"), (1, "a@b.cc"), (1, "a@b.cc d@e.ff"), (2, None)]).write.parquet(str(tmp_path / "documents.parquet"))
+        got = pii.op3_pii(spark, str(tmp_path)).collect()
+        assert sorted((r["doc_id"] or 0, r["n_email"]) for r in got) == [(0, 1), (1, 1), (1, 2), (2, 0)]
+
     def test_empty_table(self, spark):
         assert pii.pii_spans(documents(spark, [])).collect() == []
 
