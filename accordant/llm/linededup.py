@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from accordant.llm.shared import BLANK_CHARS, Scratch, connected_components, sent_if_small
 
-#: Characters that a line must have, without white space around it, to take part; shorter ones repeat by chance.
+#: Characters that a line must have, without white space around it, to be met by edits; shorter ones with a word are met
+#: only where they are equal, and only if asked for.
 LEAST_CHARS = 20
 #: Different lines under one segment that are compared in pairs.
 BUCKET = 200
@@ -42,10 +43,11 @@ def place_doc(at: Column) -> Column:
     return F.floor(at / F.lit(ROW).cast("decimal(10,0)")).cast("long")
 
 
-def long_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of lines with LEAST_CHARS; h1 and h2 together stand for the line."""
+def taking_part(docs: DataFrame, short: bool) -> DataFrame:
+    """(doc_id, line_no, line, h1, h2) of lines with LEAST_CHARS, or with a word if `short`; h1 and h2 together stand for the line."""
     split = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(lines_of(F.col("text"))).alias("line_no", "line"))
-    trimmed = split.withColumn("line", F.trim("line", F.lit(BLANK_CHARS))).where(F.length("line") >= LEAST_CHARS)
+    enough = F.length("line") >= LEAST_CHARS
+    trimmed = split.withColumn("line", F.trim("line", F.lit(BLANK_CHARS))).where(enough | F.rlike("line", F.lit(r"[\p{L}\p{N}]")) if short else enough)
     return trimmed.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
@@ -108,14 +110,14 @@ def neighbourhood_links(crowd: DataFrame, scratch: Scratch) -> tuple[DataFrame,
     return stars.unionAll(drops), each.groupBy("id").agg(F.sum("k").alias("n_links"))
 
 
-def line_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """All long lines (doc_id, line_no, h1, h2), and for those whose class has another occurrence (h1, h2, keep_at, n_links)."""
-    found = long_lines(docs)
-    keys = segment_keys(F.col("line"))
+def line_classes(docs: DataFrame, scratch: Scratch, short: bool) -> tuple[DataFrame, DataFrame]:
+    """All lines that take part (doc_id, line_no, h1, h2), and for those whose class has another occurrence (h1, h2, keep_at, n_links)."""
+    found = taking_part(docs, short)
+    keys = [F.when(F.length("line") >= LEAST_CHARS, k) for k in segment_keys(F.col("line"))]
     lines = scratch.keep(found.select("doc_id", "line_no", "h1", "h2", *[k.alias(f"k{i}") for i, k in enumerate(keys)]), "lines")
     firsts = [F.first(f"k{i}").alias(f"k{i}") for i in range(4)]
     each = scratch.keep(lines.groupBy("h1", "h2").agg(F.min(place(F.col("doc_id"), F.col("line_no"))).alias("first_at"), F.count("*").alias("n"), *firsts), "distinct")
-    posted = each.select("h1", "h2", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("slot", "k")).withColumn("own", F.col("slot") < 2).drop("slot")
+    posted = each.select("h1", "h2", F.posexplode(F.array("k0", "k1", "k2", "k3")).alias("slot", "k")).where("k is not null").withColumn("own", F.col("slot") < 2).drop("slot")
     buckets = posted.groupBy("k").agg(F.count("*").alias("size"), F.sum(F.col("own").cast("int")).alias("owns")).where("size > 1 and owns > 0")
     buckets = scratch.keep(buckets.select("k", "size"), "buckets")
     met = scratch.keep(posted.join(buckets, "k").withColumn("crowded", F.col("size") > BUCKET), "met")
@@ -143,15 +145,15 @@ def line_classes(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return lines.select("doc_id", "line_no", "h1", "h2"), scratch.keep(joined.unionAll(alone), "classes")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(docs: DataFrame, short: bool = False) -> DataFrame:
     """(doc_id, n_links, removed): removed holds (line, first_doc, first_line) for each line whose class occurs before.
 
     Rows for documents with such a line or with a link alone; n_links counts links of its lines to different texts.
     Occurrences are ordered by doc_id and line number, so repeated rows of one doc_id keep the same lines. Rows with a
-    null doc_id and lines under LEAST_CHARS take no part; an empty table gives none.
+    null doc_id take no part, nor do lines under LEAST_CHARS unless `short`; an empty table gives none.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines, classes = line_classes(docs.select("doc_id", "text"), scratch)
+    lines, classes = line_classes(docs.select("doc_id", "text"), scratch, short)
     at = place(F.col("doc_id"), F.col("line_no"))
     met = lines.join(classes, ["h1", "h2"]).select("doc_id", "line_no", "n_links", "keep_at", (at != F.col("keep_at")).alias("again")).distinct()
     first_doc = place_doc(F.col("keep_at"))
@@ -162,9 +164,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     return out
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, short: bool = False) -> DataFrame:
     """`docs` with its columns; texts without the lines that repeat an earlier one. Texts without such lines are as before."""
-    found = repeated_lines(docs).where(F.size("removed") > 0)
+    found = repeated_lines(docs, short).where(F.size("removed") > 0)
     gone = found.select(F.col("doc_id").alias("_l_doc"), F.transform("removed", lambda x: x["line"]).alias("_l_gone"))
     gone = sent_if_small(gone, SENT_LINES, F.size("_l_gone") + 4)
     joined = docs.join(gone, docs["doc_id"] == gone["_l_doc"], "left")
@@ -180,7 +182,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = repeated_lines(docs)
+    found = repeated_lines(docs, short=True)
     n_lines = F.size(lines_of(F.col("text"))).cast("long")
     out = docs.select("doc_id", n_lines.alias("n_lines")).join(found, "doc_id", "left")
     removed = F.coalesce("removed", F.array().cast("array<struct<line: int, first_doc: bigint, first_line: int>>"))

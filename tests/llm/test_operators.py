@@ -368,6 +368,11 @@ class TestLines:
         assert out.columns == docs.columns
         assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: f"{line}\nend", 2: "start\nend", 3: None, 4: "", None: line}
 
+    def test_short_lines(self, spark, tmp_path):
+        documents(spark, [(1, "Les.\n--\nends in nineteen c"), (2, " Les. \nLex.\n--\nends in nineteen d"), (3, "")]).write.parquet(str(tmp_path / "documents.parquet"))
+        got = {r["doc_id"]: [tuple(x) for x in r["removed"]] for r in linededup.op6_line_dedup(spark, str(tmp_path)).collect()}
+        assert got == {1: [], 2: [(0, 1, 0)], 3: []}
+
     def test_empty_table(self, spark):
         assert linededup.repeated_lines(documents(spark, [])).collect() == []
 
