@@ -51,10 +51,10 @@ def normalised(v: Column) -> Column:
     return F.coalesce(F.lower(strip(v["text"])), F.lit(""))
 
 
-def values_match(pred: Column, gold: Column, field: Column, match_case: bool = False, match_whole_word: bool = True) -> Column:
+def values_match(pred: Column, gold: Column, field: Column, match_case: bool = True, match_whole_word: bool = True) -> Column:
     """Equality of two present values: never null.
 
-    Strings compare after lower-casing unless match_case; fields named *_doi take both DOI hosts as one; without
+    Strings compare as they are, or lower-cased without match_case; fields named *_doi take both DOI hosts as one; without
     match_whole_word the gold string may lie inside the predicted one. A string equals no other type; numbers and
     booleans compare as numbers, lists and objects by canonical text.
     """
@@ -69,7 +69,7 @@ def values_match(pred: Column, gold: Column, field: Column, match_case: bool = F
     return F.coalesce(F.when(both, strings).when(one, F.lit(False)).otherwise(numbers | nested), F.lit(False))
 
 
-def is_correct(pred: Column, gold: Column, field: Column, match_case: bool = False, match_whole_word: bool = True) -> Column:
+def is_correct(pred: Column, gold: Column, field: Column, match_case: bool = True, match_whole_word: bool = True) -> Column:
     """Both missing, or both present and equal."""
     return F.when(is_missing(gold), is_missing(pred)).when(is_missing(pred), F.lit(False)).otherwise(values_match(pred, gold, field, match_case, match_whole_word))
 
@@ -83,9 +83,9 @@ def is_boolean_like(text: Column) -> Column:
     return F.lower(strip(text)).isin(*BOOLEAN_WORDS)
 
 
-def classify_error(field: Column, gold: Column, pred: Column, match_case: bool = False, match_whole_word: bool = True) -> Column:
-    """One of eight labels, or null where there is no error; the first that applies."""
-    g, p = gold["text"], pred["text"]
+def classify_error(field: Column, gold: Column, pred: Column, match_case: bool = True, match_whole_word: bool = True) -> Column:
+    """One of eight labels, or null where there is no error; the first that applies. Strings that differ are looked at without outer white space."""
+    g, p = strip(gold["text"]), strip(pred["text"])
     url = lambda c: F.rlike(c, F.lit(r"^https?://(dx\.)?doi\.org/"))
     joined = lambda c: F.lower(F.regexp_replace(c, r"(?U)[\s_\-]+", ""))
     digits = lambda c: F.regexp_extract_all(c, F.lit(r"[0-9]+"), F.lit(0))
@@ -123,11 +123,27 @@ def shortened(text: Column, most: int = 500) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("..."))).otherwise(text)
 
 
+def json_string(text: Column) -> Column:
+    """A JSON string in ASCII: other characters are written as \\u and four hex digits, those beyond 16 bits as two."""
+    out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    for char, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
+        out = F.replace(out, F.lit(char), F.lit(f"\\{name}"))
+    four = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n.cast("long"))), 4, "0"))
+
+    def escaped(c: Column) -> Column:
+        n = F.ascii(c)
+        wide = F.concat(four(F.lit(0xD800) + F.floor((n - 0x10000) / 1024)), four(F.lit(0xDC00) + (n - 0x10000) % 1024))
+        return F.when((n >= 32) & (n < 127), c).when(n < 0x10000, four(n)).otherwise(wide)
+
+    each = F.array_join(F.transform(F.regexp_extract_all(out, F.lit("(?s)."), F.lit(0)), escaped), "")
+    return F.concat(F.lit('"'), F.when(out.rlike(r"[^\x20-\x7e]"), each).otherwise(out), F.lit('"'))
+
+
 def cache_key(function: Column, params: Column) -> Column:
-    """SHA-256 of the function's name and its parameters (a map of strings) in order of name."""
-    ordered = F.array_sort(F.map_entries(params))
-    body = F.array_join(F.transform(ordered, lambda e: F.concat(F.to_json(F.struct(e["key"].alias("k"), e["value"].alias("v"))))), ",")
-    return F.sha2(F.concat(function, F.lit("|"), body), 256)
+    """SHA-256 of canonical JSON: the function's name and its parameters (a map of strings) in order of name."""
+    pair = lambda e: F.concat(json_string(e["key"]), F.lit(": "), F.coalesce(json_string(e["value"]), F.lit("null")))
+    body = F.array_join(F.transform(F.array_sort(F.map_entries(params)), pair), ", ")
+    return F.sha2(F.concat(F.lit('{"func_name": '), json_string(function), F.lit(', "params": {'), body, F.lit("}}")), 256)
 
 
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:

@@ -10,25 +10,27 @@ from accordant.functions.values import is_correct, is_missing, ratio, value_key
 
 KEY = ["assay", "record"]
 ONTOLOGY, PLAIN = "ontology", "non_ontology"
+ACCURACIES = {"ontology_constrained_field_accuracy": ONTOLOGY, "non_ontology_constrained_field_accuracy": PLAIN, "all_field_accuracy": None}
 
 
-def aligned(records: DataFrame, sides: dict[str, Column], required: list[str] = ()) -> DataFrame:
+def aligned(records: DataFrame, sides: dict[str, Column], required: list[str] = (), marked: list[str] = ()) -> DataFrame:
     """One row for each gold field with a column of each side's value; null where the side lacks the field.
 
     sides: conditions on role, model or run type by name, `gold` among them. Records that a side of `required` lacks are
-    left out, as are fields that gold lacks. One shuffle by record serves pairing, presence and alignment.
+    left out, as are fields that gold lacks; in_<name> says for names in `marked` whether the record has that side. One
+    shuffle and one sort by record serve pairing, presence and alignment; the record leads, since assays are few.
     """
-    marked = records.where(F.lit(False) if not sides else _any(sides.values())).repartition(*KEY)
+    by = KEY[::-1]
+    chosen = records.where(F.lit(False) if not sides else _any(sides.values())).repartition(*by)
     values = [F.first(F.when(when, F.col("value")), ignorenulls=True).alias(name) for name, when in sides.items()]
-    there = [F.max(when).alias(f"_in_{name}") for name, when in sides.items()]
-    each = marked.groupBy(*KEY, "field").agg(*values, *there)
-    record = Window.partitionBy(*KEY)
+    there = [F.max(sides[name]).alias(f"in_{name}") for name in dict.fromkeys(["gold", *required, *marked])]
+    each = chosen.groupBy(*by, "field").agg(*values, *there)
+    record = Window.partitionBy(*by)
+    each = each.withColumns({f"in_{name}": F.max(f"in_{name}").over(record) for name in dict.fromkeys([*required, *marked])}) if required or marked else each
+    kept = each.where("in_gold")
     for name in required:
-        each = each.withColumn(f"_with_{name}", F.max(f"_in_{name}").over(record))
-    kept = each.where(F.col("_in_gold"))
-    for name in required:
-        kept = kept.where(F.col(f"_with_{name}"))
-    return kept.select(*KEY, "field", *sides)
+        kept = kept.where(F.col(f"in_{name}"))
+    return kept.select(*KEY, "field", *sides, *[f"in_{name}" for name in marked])
 
 
 def _any(conditions) -> Column:
@@ -58,12 +60,21 @@ def with_schema(cells: DataFrame, schema: DataFrame) -> DataFrame:
     return out.withColumns({"field_type": kind, "required": F.coalesce("required", F.lit(False))}).drop("is_ontology")
 
 
-def field_facts(records: DataFrame, schema: DataFrame, pred: Column, match_case: bool = False, match_whole_word: bool = True) -> DataFrame:
+def field_facts(records: DataFrame, schema: DataFrame, pred: Column, match_case: bool = True, match_whole_word: bool = True) -> DataFrame:
     """(assay, record, field, field_type, required, gold, pred, is_correct, value_key) of records that both sides have."""
     cells = with_schema(aligned(records, {"gold": gold_side(), "pred": pred}, ["pred"]), schema)
     return cells.withColumns({"is_correct": is_correct(F.col("pred"), F.col("gold"), F.col("field"), match_case, match_whole_word), "value_key": value_key(F.col("gold"))})
 
 
+def run_facts(records: DataFrame, schema: DataFrame, runs: list[str], match_case: bool = True, match_whole_word: bool = True) -> DataFrame:
+    """field_facts of several runs with run_type, aligned in one pass."""
+    sides = {"gold": gold_side()} | {f"run_{i}": run(name) for i, name in enumerate(runs)}
+    cells = with_schema(aligned(records, sides, marked=list(sides)[1:]), schema)
+    each = F.array(*[F.struct(F.lit(name).alias("run_type"), F.col(f"run_{i}").alias("pred"), F.col(f"in_run_{i}").alias("there")) for i, name in enumerate(runs)])
+    long = cells.withColumn("_r", F.explode(each)).where("_r.there").select(*KEY, "field", "field_type", "required", "gold", "_r.run_type", "_r.pred")
+    return long.withColumn("is_correct", is_correct(F.col("pred"), F.col("gold"), F.col("field"), match_case, match_whole_word))
+
+
 def with_outcomes(cells: DataFrame) -> DataFrame:
     """Adds base_ok and arms_ok to cells with the sides gold, base and arms."""
     ok = lambda side: is_correct(F.col(side), F.col("gold"), F.col("field"))
@@ -82,11 +93,7 @@ def _share(kind: str | None) -> Column:
 
 def record_accuracy(facts: DataFrame) -> DataFrame:
     """Three accuracies of each record; a record without fields of a type scores 0 there."""
-    return facts.groupBy(*KEY).agg(
-        _share(ONTOLOGY).alias("ontology_constrained_field_accuracy"),
-        _share(PLAIN).alias("non_ontology_constrained_field_accuracy"),
-        _share(None).alias("all_field_accuracy"),
-    )
+    return facts.groupBy(*KEY).agg(*[_share(kind).alias(name) for name, kind in ACCURACIES.items()])
 
 
 def field_counts(facts: DataFrame, *by: str) -> DataFrame:
@@ -99,21 +106,23 @@ def field_counts(facts: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def assay_summary(facts: DataFrame, assays: DataFrame, places: int | None = None) -> DataFrame:
+def shown(accuracy: Column, places: int | None) -> Column:
+    """Rounded to places, halves to even after scaling; as it is for None."""
+    return accuracy if places is None else F.rint(accuracy * 10.0**places) / 10.0**places
+
+
+def assay_summary(facts: DataFrame, assays: DataFrame, places: int | None = 2) -> DataFrame:
     """(label, ord and) means of the records' accuracies, in the order of the dimension; assays without records are absent."""
-    names = ["ontology_constrained_field_accuracy", "non_ontology_constrained_field_accuracy", "all_field_accuracy"]
-    shown = (lambda c: F.bround(c, places)) if places is not None else (lambda c: c)
-    means = record_accuracy(facts).groupBy("assay").agg(*[shown(F.avg(n)).alias(n) for n in names])
-    return means.join(assays, "assay").orderBy("ord").select(F.col("label").alias("assay"), *names)
+    means = record_accuracy(facts).groupBy("assay").agg(*[shown(F.avg(n), places).alias(n) for n in ACCURACIES])
+    return means.join(assays, "assay").orderBy("ord").select(F.col("label").alias("assay"), *ACCURACIES)
 
 
-def overall_summary(facts: DataFrame, places: int | None = None) -> DataFrame:
+def overall_summary(facts: DataFrame, places: int | None = 2) -> DataFrame:
     """One row of pooled accuracies: all correct fields over all fields."""
-    shown = (lambda c: F.bround(c, places)) if places is not None else (lambda c: c)
     return facts.agg(
-        shown(_share(ONTOLOGY)).alias("ontology_constrained_accuracy"),
-        shown(_share(PLAIN)).alias("non_ontology_constrained_accuracy"),
-        shown(_share(None)).alias("all_field_accuracy"),
+        shown(_share(ONTOLOGY), places).alias("ontology_constrained_accuracy"),
+        shown(_share(PLAIN), places).alias("non_ontology_constrained_accuracy"),
+        shown(_share(None), places).alias("all_field_accuracy"),
     )
 
 
@@ -145,7 +154,20 @@ def frequency_split(facts: DataFrame, gold: DataFrame, field_type: str | None =
     return both.join(sums, "bucket", "left").select("bucket", F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), F.coalesce("n_instances", F.lit(0)).cast("long").alias("n_instances"))
 
 
-def plot_stats(facts_by_run: DataFrame, metric: str = "all_field_accuracy") -> DataFrame:
-    """(assay, run_type, mean, low, high) of the records' accuracies: the data of a grouped bar chart with ranges."""
-    each = facts_by_run.groupBy(*KEY, "run_type").agg(_share({"ontology_constrained_field_accuracy": ONTOLOGY, "non_ontology_constrained_field_accuracy": PLAIN}.get(metric)).alias("score"))
-    return each.groupBy("assay", "run_type").agg(F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n_records"))
+def run_scores(facts_by_run: DataFrame, metric: str = "all_field_accuracy") -> DataFrame:
+    """(assay, run_type, score, n): the distinct record accuracies of each assay and run, and how many records have each."""
+    each = facts_by_run.groupBy(*KEY, "run_type").agg(_share(ACCURACIES[metric]).alias("score"))
+    return each.groupBy("assay", "run_type", "score").agg(F.count("*").alias("n"))
+
+
+def score_ranges(scores: DataFrame) -> DataFrame:
+    """(assay, run_type, mean, low, high, n_records): means with the least and the greatest score, as a chart shows them."""
+    mean = F.sum(F.col("score") * F.col("n")) / F.sum("n")
+    return scores.groupBy("assay", "run_type").agg(mean.alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"), F.sum("n").alias("n_records"))
+
+
+def chart_rows(stats: DataFrame, assays: DataFrame, runs: list[str]) -> DataFrame:
+    """(assay label, run_type, mean, low, high) in the dimension's order, for assays that have some run; 0.0 for a run they lack."""
+    every = stats.select("assay").distinct().join(assays, "assay").withColumn("run_type", F.explode(F.array(*map(F.lit, runs))))
+    zero = {x: F.coalesce(x, F.lit(0.0)) for x in ("mean", "low", "high")}
+    return every.join(stats, ["assay", "run_type"], "left").withColumns(zero).orderBy("ord", "run_type").select(F.col("label").alias("assay"), "run_type", "mean", "low", "high")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from accordant.functions.values import strip
+from accordant.functions.values import cache_key, strip
 
 LEAST_SCORE, OBSOLETE = 0.3, 0.2
 DAY = 86_400
@@ -37,13 +39,88 @@ def best_terms(candidates: DataFrame, *by: str) -> DataFrame:
 
 def search_terms(queries: DataFrame, terms: DataFrame, within_branch: bool) -> DataFrame:
     """Candidates of queries (query, acronym[, branch]) among terms (acronym, branch, pos, label, synonyms, obsolete, iri)."""
-    return queries.join(terms, ["acronym", "branch"] if within_branch else ["acronym"])
+    by = ["acronym", "branch"] if within_branch else ["acronym"]
+    return queries.join(terms.select(*by, "pos", "label", "synonyms", "obsolete", "iri"), by)
+
+
+def picked_terms(queries: DataFrame, terms: DataFrame, entries: DataFrame, now: Column, within_branch: bool) -> DataFrame:
+    """(query, acronym[, branch], label, iri, from_cache) for each distinct query: fresh cached picks first, else the best term found.
+
+    entries: cache entries (key, created_at, ttl, label, iri), whose key is pick_key of the query; a null label is a
+    cached "nothing". Queries that neither the cache nor the terms answer have null label and iri.
+    """
+    by = ["acronym", "branch"] if within_branch else ["acronym"]
+    asked = queries.select("query", *by).distinct().withColumn("key", pick_key("query", *by))
+    known = cache_get(cache_latest(entries, "label", "iri"), now).select("key", "label", "iri", F.lit(True).alias("from_cache"))
+    hits = asked.join(known, "key", "left")
+    missed = hits.where("from_cache is null").select("query", *by)
+    best = best_terms(search_terms(missed, terms, within_branch), "query", *by).select("query", *by, F.col("label").alias("found"), F.col("iri").alias("found_iri"))
+    out = hits.join(best, ["query", *by], "left")
+    fresh = F.coalesce("from_cache", F.lit(False))
+    return out.select("query", *by, F.when(fresh, F.col("label")).otherwise(F.col("found")).alias("label"), F.when(fresh, F.col("iri")).otherwise(F.col("found_iri")).alias("iri"), fresh.alias("from_cache"))
+
+
+def pick_key(*columns: str) -> Column:
+    return cache_key(F.lit("pick_term"), F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))]))
+
+
+def new_entries(picked: DataFrame, now: Column, ttl: int | None = None) -> DataFrame:
+    """What a pick adds to the cache: entries (key, created_at, ttl, label, iri) of queries that it didn't answer."""
+    by = [c for c in picked.columns if c in ("query", "acronym", "branch")]
+    return picked.where("not from_cache").select(pick_key(*by).alias("key"), now.alias("created_at"), F.lit(lifetime() if ttl is None else ttl).alias("ttl"), "label", "iri")
+
+
+def lifetime(name: str = "ACCORDANT_CACHE_TTL_SECONDS") -> int:
+    """Seconds that cache entries live: of the environment, a day where it is unset or no number."""
+    try:
+        return int(os.environ.get(name, DAY))
+    except ValueError:
+        return DAY
+
+
+def cache_folder(name: str = "ACCORDANT_CACHE_DIR") -> str:
+    """Where the cache table lies: of the environment, else the user's cache folder."""
+    base = os.environ.get("XDG_CACHE_HOME") or os.path.join(os.path.expanduser("~"), ".cache")
+    return os.environ.get(name) or os.path.join(base, "accordant")
+
 
+ENTRIES = "key string, value string, func_name string, params_summary string, created_at double, ttl int"
 
-def final_responses(messages: DataFrame) -> DataFrame:
-    """(conv_id, text) of the last message of the assistant that isn't blank; conversations without one have no row."""
-    said = messages.where((F.col("role") == "assistant") & (strip(F.col("text")) != ""))
-    return said.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+
+def cache_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries stored in a folder; the folder is made, empty, where it isn't there."""
+    spark.createDataFrame([], ENTRIES).write.mode("append").parquet(folder)
+    return spark.read.schema(ENTRIES).parquet(folder)
+
+
+def cache_set(entries: DataFrame, folder: str) -> None:
+    """Adds entries (ENTRIES, is_error); error results are left out, and of one key the newest holds."""
+    kept = entries.where(~F.coalesce("is_error", F.lit(False))) if "is_error" in entries.columns else entries
+    kept.select(*[c.split()[0] for c in ENTRIES.split(", ")]).write.mode("append").parquet(folder)
+
+
+def cache_compact(spark: SparkSession, folder: str, to: str, now: Column) -> DataFrame:
+    """Writes the newest fresh entries of `folder` to the new folder `to`, expired and replaced ones left out."""
+    values = [c.split()[0] for c in ENTRIES.split(", ") if not c.startswith(("key", "created_at", "ttl"))]
+    latest = cache_latest(cache_table(spark, folder), *values)
+    latest.where(now - F.col("created_at") <= F.col("ttl")).select(*[c.split()[0] for c in ENTRIES.split(", ")]).write.parquet(to)
+    return spark.read.schema(ENTRIES).parquet(to)
+
+
+def final_responses(messages: DataFrame, required: bool = False) -> DataFrame:
+    """(conv_id, text) of the last message of the assistant with text; messages have `text`, `blocks` (an array of structs with a text) or both.
+
+    Conversations without such a message have no row; with `required` they raise an error when the row is made.
+    """
+    body = F.when(strip(F.col("text")) != "", F.col("text")) if "text" in messages.columns else F.lit(None).cast("string")
+    if "blocks" in messages.columns:
+        joined = joined_blocks(F.col("blocks"))
+        body = F.coalesce(body, F.when(joined != "", joined))
+    said = F.when(F.col("role") == "assistant", body)
+    if not required:
+        return messages.withColumn("_said", said).where("_said is not null").groupBy("conv_id").agg(F.max_by("_said", "turn").alias("text"))
+    last = F.max_by(said, F.when(said.isNotNull(), F.col("turn")))
+    return messages.groupBy("conv_id").agg(last.alias("text")).withColumn("text", F.coalesce("text", F.raise_error("a conversation has no text response")))
 
 
 def joined_blocks(blocks: Column) -> Column:
@@ -109,7 +186,7 @@ def exact_sample(names: DataFrame, counts: DataFrame, seed: int = 0) -> DataFram
     Order by MD5 of seed and name decides. Each source is first cut in SHARES shares, of which each keeps its own n, so
     no task sorts a whole source.
     """
-    ranked = names.join(F.broadcast(counts), "source").withColumn("draw", F.md5(F.concat_ws("|", F.lit(seed), "name")))
+    ranked = names.join(counts, "source").withColumn("draw", F.md5(F.concat_ws("|", F.lit(seed), "name")))
     share = F.pmod(F.xxhash64("name"), F.lit(64))
     first = Window.partitionBy("source", share).orderBy("draw", "name")
     last = Window.partitionBy("source").orderBy("draw", "name")
@@ -120,3 +197,17 @@ def exact_sample(names: DataFrame, counts: DataFrame, seed: int = 0) -> DataFram
 def paired_names(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Names (source, name) that both sides have, and those of the left alone."""
     return left.join(right, ["source", "name"], "left_semi"), left.join(right, ["source", "name"], "left_anti")
+
+
+def checked_counts(available: DataFrame, counts: DataFrame) -> DataFrame:
+    """counts (source, n), after a check on the driver: an error names sources with fewer paired names than asked for, or none."""
+    there = available.groupBy("source").agg(F.count("*").alias("_there"))
+    short = counts.join(there, "source", "left").withColumn("_there", F.coalesce("_there", F.lit(0))).where("_there = 0 or n > _there")
+    if found := short.select("source", "n", "_there").orderBy("source").head(20):
+        raise ValueError("not enough paired names: " + ", ".join(f"{r['source']}: {r['n']} of {r['_there']}" for r in found))
+    return counts
+
+
+def unmatched_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(source, n_unmatched): names of the left that the right lacks, for a warning."""
+    return paired_names(left, right)[1].groupBy("source").agg(F.count("*").alias("n_unmatched"))

@@ -8,9 +8,10 @@ distinct record outcomes, which the number of fields bounds, whatever the number
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -42,6 +43,36 @@ def mcnemar_counts(paired: DataFrame, *by: str) -> DataFrame:
     return sums.withColumn("statistic", F.when(F.col("n_discordant") == 0, None).when(F.col("n_discordant") < EXACT_PAIRS, exact).otherwise(corrected))
 
 
+def tail_column(z: Column, nodes: int = 400) -> Column:
+    """Two-sided normal tail of z >= 0 as a column, by Simpson's rule; 0 beyond 12. For a few rows: each takes `nodes` steps."""
+    x = F.least(z, F.lit(12.0)) / math.sqrt(2)
+    step = x / (2 * nodes)
+    weight = lambda i: F.when((i == 0) | (i == 2 * nodes), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+    area = F.aggregate(F.sequence(F.lit(0), F.lit(2 * nodes)), F.lit(0.0), lambda s, i: s + weight(i) * F.exp(-(step * i) * (step * i)))
+    return F.greatest(F.lit(0.0), 1 - area * step / 3 * 2 / math.sqrt(math.pi))
+
+
+def with_mcnemar_p(counts: DataFrame) -> DataFrame:
+    """Adds p to mcnemar_counts: exact below EXACT_PAIRS discordant pairs, else of the corrected statistic; 1 without any."""
+    n, least = F.col("n_discordant"), F.least("b", "c")
+    first = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(s: Column, i: Column) -> Column:
+        term = s["term"] * (n - i + 1) / i
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    below = F.aggregate(F.slice(F.sequence(F.lit(0).cast("long"), least), F.lit(2), least.cast("int")), first, add, lambda s: s["sum"])
+    exact = F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))
+    return counts.withColumn("p", F.when(n == 0, 1.0).when(n < EXACT_PAIRS, exact).otherwise(tail_column(F.sqrt("statistic"))))
+
+
+def with_wilcoxon_p(ranks: DataFrame) -> DataFrame:
+    """Adds the tie-corrected normal p to wilcoxon_ranks."""
+    n = F.col("n_nonzero").cast("double")
+    spread = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("tie_sum") / 2) / 24)
+    return ranks.withColumn("p", F.when(spread == 0, 1.0).otherwise(tail_column(F.abs(F.col("statistic") - n * (n + 1) / 4) / spread)))
+
+
 def mcnemar_p(b: int, c: int) -> float:
     n = b + c
     if n == 0:
@@ -108,9 +139,16 @@ def histogram(paired: DataFrame, *by: str) -> list:
     return paired.groupBy(*by, "base_correct", "arms_correct", "total", "base_only", "arms_only").agg(F.count("*").alias("n")).orderBy(*by, "base_correct", "arms_correct", "total", "base_only", "arms_only").collect()
 
 
-def _draws(n: np.ndarray, resamples: int, seed: int) -> np.ndarray:
+#: Numbers that one chunk of resamples holds.
+HELD = 4_000_000
+
+
+def _draws(n: np.ndarray, resamples: int, seed: int) -> Iterator[np.ndarray]:
+    """Multinomial draws over the distinct rows, in chunks of at most HELD numbers."""
     rng = np.random.default_rng(seed)
-    return rng.multinomial(int(n.sum()), n / n.sum(), size=resamples)
+    step = max(1, HELD // len(n))
+    for at in range(0, resamples, step):
+        yield rng.multinomial(int(n.sum()), n / n.sum(), size=min(step, resamples - at))
 
 
 def bootstrap_mean(values: np.ndarray, n: np.ndarray, resamples: int = RESAMPLES, alpha: float = ALPHA, seed: int = SEED) -> tuple[float, float, float]:
@@ -118,7 +156,8 @@ def bootstrap_mean(values: np.ndarray, n: np.ndarray, resamples: int = RESAMPLES
     values, n = np.asarray(values, float), np.asarray(n, np.int64)
     if not n.sum():
         return (math.nan,) * 3
-    low, high = np.percentile(_draws(n, resamples, seed) @ values / n.sum(), [100 * alpha / 2, 100 * (1 - alpha / 2)])
+    means = np.concatenate([d @ values for d in _draws(n, resamples, seed)]) / n.sum()
+    low, high = np.percentile(means, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     return float(values @ n / n.sum()), float(low), float(high)
 
 
@@ -127,11 +166,23 @@ def bootstrap_ratio(part: np.ndarray, whole: np.ndarray, n: np.ndarray, resample
     part, whole, n = np.asarray(part, float), np.asarray(whole, float), np.asarray(n, np.int64)
     if not n.sum() or not whole @ n:
         return (math.nan,) * 3
-    draws = _draws(n, resamples, seed)
-    low, high = np.percentile((draws @ part) / (draws @ whole), [100 * alpha / 2, 100 * (1 - alpha / 2)])
+    ratios = np.concatenate([(d @ part) / (d @ whole) for d in _draws(n, resamples, seed)])
+    low, high = np.percentile(ratios, [100 * alpha / 2, 100 * (1 - alpha / 2)])
     return float(part @ n / (whole @ n)), float(low), float(high)
 
 
+def score_intervals(scores: DataFrame) -> DataFrame:
+    """(assay, run_type, mean, low, high, n_records) of run_scores: means with bootstrap intervals.
+
+    What is collected are distinct accuracies by assay and run, which the number of fields bounds.
+    """
+    by: dict[tuple, list] = {}
+    for r in scores.orderBy("assay", "run_type", "score").collect():
+        by.setdefault((r["assay"], r["run_type"]), []).append((r["score"], r["n"]))
+    rows = [(*key, *bootstrap_mean(np.array([x for x, _ in own]), np.array([n for _, n in own])), sum(n for _, n in own)) for key, own in by.items()]
+    return scores.sparkSession.createDataFrame(rows, "assay string, run_type string, mean double, low double, high double, n_records long")
+
+
 def permutation(d: np.ndarray, n: np.ndarray, resamples: int = RESAMPLES, seed: int = SEED) -> tuple[float, int, float]:
     """Observed sum, records with a difference and p of flipping each record's sign; equal differences flip binomially."""
     d, n = np.asarray(d, float), np.asarray(n, np.int64)
@@ -140,8 +191,9 @@ def permutation(d: np.ndarray, n: np.ndarray, resamples: int = RESAMPLES, seed:
         return observed, 0, 1.0
     sizes, at = np.unique(np.abs(d[some]), return_inverse=True)
     counts = np.bincount(at, n[some]).astype(np.int64)
-    flips = np.random.default_rng(seed).binomial(counts, 0.5, size=(resamples, len(counts)))
-    sums = (2 * flips - counts) @ sizes
+    rng, step = np.random.default_rng(seed), max(1, HELD // len(counts))
+    flips = (rng.binomial(counts, 0.5, size=(min(step, resamples - at), len(counts))) for at in range(0, resamples, step))
+    sums = np.concatenate([(2 * x - counts) @ sizes for x in flips])
     return observed, int(counts.sum()), float((np.sum(np.abs(sums) >= abs(observed) - 1e-9) + 1) / (resamples + 1))
 
 

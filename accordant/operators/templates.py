@@ -92,7 +92,8 @@ CORRECT = (
 )
 
 
-def agent_prompt(record: dict, iri: str, kind: str = "target") -> str:
+def agent_prompt(record: dict, iri: str, kind: str) -> str:
+    """kind: the name of the system that the template comes from."""
     return MIGRATE.format(kind=kind, iri=iri, record=json.dumps(record, indent=2))
 
 

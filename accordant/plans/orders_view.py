@@ -1,16 +1,15 @@
 """Gold, predicted and legacy records made of the orders table by arithmetic, so that SQL can make the same ones.
 
 A record is an order, its assay the order's priority. Each prediction run spoils field f of record k where k + f is
-divisible by 7 (baseline) or 11 (experiment), each field in its own way; some records lack a run or a legacy record.
+divisible by 7 (baseline) or 11 (experiment), each field in its own way; beside that, statuses of some records differ
+in case alone. Some records lack a run or a legacy record. The expressions below are SQL that both engines read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.functions.values import VALUE, value
-
 ASSAYS = [("1-URGENT", "Urgent"), ("2-HIGH", "High"), ("3-MEDIUM", "Medium"), ("4-NOT SPECIFIED", "Not specified"), ("5-LOW", "Low")]
 #: Field, constrained by a vocabulary, required.
 FIELDS = [
@@ -21,96 +20,80 @@ RUNS = {"baseline": (7, 19), "experiment": (11, 17)}
 LEGACY_MISSING = 23
 EMPTY_TERMS = ["1-urgent", "5-low"]
 
+CUST, DIMS = "CAST(o_custkey AS STRING)", "o_custkey || ' x ' || o_orderkey"
+GOLD = {
+    "status": ("str", "o_orderstatus"), "priority": ("str", "o_orderpriority"), "is_open": ("str", "CASE WHEN o_orderstatus = 'O' THEN 'Yes' ELSE 'No' END"),
+    "ref_doi": ("str", "'https://doi.org/10.1/' || o_custkey"), "dims": ("str", DIMS), "custkey": ("int", CUST),
+    "price": ("float", "CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS STRING)"), "note": ("str", "CASE WHEN o_orderkey % 13 <> 0 THEN 'checked' END"),
+}
+LEGACY = {
+    "status": ("str", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE o_orderpriority END"), "priority": ("str", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority ELSE o_orderstatus END"),
+    "is_open": GOLD["is_open"], "ref_doi": GOLD["ref_doi"], "dims": ("str", f"CASE WHEN o_orderkey % 5 <> 0 THEN {DIMS} END"), "custkey": ("str", CUST),
+    "flag": ("str", "CASE WHEN o_orderkey % 2 = 0 THEN 'X' ELSE 'Y' END"),
+}
+PLAIN = GOLD | {
+    "status": ("str", "CASE WHEN o_orderkey % 29 = 0 THEN lower(o_orderstatus) ELSE o_orderstatus END"),
+    "ref_doi": ("str", "'https://dx.doi.org/10.1/' || o_custkey"), "note": ("str", "'checked'"),
+}
+
+
+def spoilt(run: str) -> dict[str, tuple[str, str]]:
+    return {
+        "status": ("str", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'X' END"), "priority": ("str", "lower(replace(o_orderpriority, '-', ' '))"),
+        "is_open": ("str", "CASE WHEN o_orderstatus = 'O' THEN 'true' ELSE 'false' END"), "ref_doi": ("str", "'10.1/' || o_custkey"), "dims": ("str", "o_custkey || ',' || o_orderkey || 'px'"),
+        "custkey": ("int", "CAST(o_custkey + 1 AS STRING)") if run == "baseline" else ("str", CUST), "price": ("str", "CAST(NULL AS STRING)"), "note": ("str", "CAST(NULL AS STRING)"),
+    }
+
 
-def schema(spark: SparkSession) -> DataFrame:
-    rows = F.array(*[F.struct(F.lit(a).alias("assay"), F.lit(n).alias("field"), F.lit(o).alias("is_ontology"), F.lit(r).alias("required"), F.lit(i).alias("ord")) for a, _ in ASSAYS for i, (n, o, r) in enumerate(FIELDS)])
-    return spark.range(1, numPartitions=1).select(F.inline(rows))
+def cell(tag: str, text: str) -> tuple[str, str, str]:
+    """SQL of a value's tag, text and number."""
+    return f"'{tag}'", text, f"CAST({text} AS DOUBLE)" if tag in ("int", "float") else "CAST(NULL AS DOUBLE)"
 
 
-def _cells(values: dict[str, Column]) -> Column:
-    return F.array(*[F.struct(F.lit(n).alias("field"), v.cast(VALUE).alias("value")) for n, v in values.items()])
+def predicted(run: str) -> dict[str, tuple[str, str, str]]:
+    step, wrong = RUNS[run][0], spoilt(run)
+    return {n: tuple(a if a == b else f"CASE WHEN (o_orderkey + {i}) % {step} = 0 THEN {a} ELSE {b} END" for a, b in zip(cell(*wrong[n]), cell(*PLAIN[n]))) for i, (n, _, _) in enumerate(FIELDS)}
+
+
+def schema(spark: SparkSession) -> DataFrame:
+    rows = ", ".join(f"('{a}', '{n}', {o}, {r}, {i})" for a, _ in ASSAYS for i, (n, o, r) in enumerate(FIELDS))
+    return spark.sql(f"SELECT * FROM VALUES {rows} t(assay, field, is_ontology, required, ord)")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(assay, role, model, run_type, record, field, value) of all orders."""
-    k, c, st, pr, price = (F.col(x) for x in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice"))
-    text = lambda x: value("str", x)
-    opened = F.when(st == "O", "Yes").otherwise("No")
-    doi = lambda host: F.concat(F.lit(host), c)
-    dims = F.concat_ws(" x ", c, k)
-    whole = lambda x: value("int", x, x)
-    gold = {
-        "status": text(st), "priority": text(pr), "is_open": text(opened), "ref_doi": text(doi("https://doi.org/10.1/")), "dims": text(dims),
-        "custkey": whole(c), "price": value("float", price.cast("string"), price), "note": text(F.when(k % 13 != 0, F.lit("checked"))),
-    }
-
-    def predicted(run: str) -> dict[str, Column]:
-        step = RUNS[run][0]
-        wrong_key = whole(c + 1) if run == "baseline" else text(c)
-        spoilt = {
-            "status": text(F.when(k % 3 == 0, pr).otherwise("X")), "priority": text(F.lower(F.replace(pr, F.lit("-"), F.lit(" ")))), "is_open": text(F.when(st == "O", "true").otherwise("false")),
-            "ref_doi": text(doi("10.1/")), "dims": text(F.concat(c, F.lit(","), k, F.lit("px"))), "custkey": wrong_key, "price": F.lit(None), "note": F.lit(None),
-        }
-        plain = gold | {"ref_doi": text(doi("https://dx.doi.org/10.1/")), "note": text(F.lit("checked"))}
-        return {n: F.when((k + i) % step == 0, spoilt[n]).otherwise(plain[n]) for i, (n, _, _) in enumerate(FIELDS)}
-
-    legacy = {
-        "status": text(F.when(k % 3 != 0, st).otherwise(pr)), "priority": text(F.when(k % 3 != 0, pr).otherwise(st)), "is_open": gold["is_open"], "ref_doi": gold["ref_doi"],
-        "dims": text(F.when(k % 5 != 0, dims)), "custkey": text(c), "flag": text(F.when(k % 2 == 0, "X").otherwise("Y")),
-    }
-    side = lambda role, run, cells, there: F.when(there, F.struct(F.lit(role).alias("role"), F.lit(run).cast("string").alias("run_type"), _cells(cells).alias("cells")))
-    sides = [side("gold", None, gold, F.lit(True)), side("input", None, legacy, k % LEGACY_MISSING != 0)]
-    sides += [side("output", run, predicted(run), k % missing != 0) for run, (_, missing) in RUNS.items()]
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    each = orders.select(pr.alias("assay"), k.cast("string").alias("record"), F.explode(F.array_compact(F.array(*sides))).alias("s"))
-    return each.select("assay", "s.role", F.lit("orders").alias("model"), "s.run_type", "record", F.inline("s.cells"))
+    sides = [("gold", None, {n: cell(*v) for n, v in GOLD.items()}, "TRUE"), ("input", None, {n: cell(*v) for n, v in LEGACY.items()}, f"k % {LEGACY_MISSING} <> 0")]
+    sides += [("output", run, predicted(run), f"k % {missing} <> 0") for run, (_, missing) in RUNS.items()]
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    base = ["o_orderpriority AS assay", "CAST(o_orderkey AS STRING) AS record", "o_orderkey AS k"]
+    out = None
+    for role, run, cells, there in sides:
+        rows = ", ".join(f"'{n}', {t}, {x}, {v}" for n, (t, x, v) in cells.items())
+        one = orders.selectExpr(*base, f"stack({len(cells)}, {rows}) AS (field, tag, text, num)").where(there)
+        value = "CASE WHEN text IS NOT NULL THEN named_struct('tag', tag, 'text', text, 'num', num) END AS value"
+        one = one.selectExpr("assay", f"'{role}' AS role", "'orders' AS model", f"CAST({repr(run) if run else 'NULL'} AS STRING) AS run_type", "record", "field", value)
+        out = one if out is None else out.unionAll(one)
+    return out
 
 
 def sql_cells() -> str:
     """DuckDB: a CTE list ending in `cells` (assay, record, field, field_type, required, f, k and g_, b_, e_, l_ tag, text, num)."""
-    price = "CAST(o_totalprice AS VARCHAR)"
-    gold = {
-        "status": ("str", "o_orderstatus"), "priority": ("str", "o_orderpriority"), "is_open": ("str", "CASE WHEN o_orderstatus='O' THEN 'Yes' ELSE 'No' END"),
-        "ref_doi": ("str", "'https://doi.org/10.1/' || o_custkey"), "dims": ("str", "o_custkey || ' x ' || o_orderkey"), "custkey": ("int", "CAST(o_custkey AS VARCHAR)"),
-        "price": ("float", price), "note": ("str", "CASE WHEN o_orderkey % 13 <> 0 THEN 'checked' END"),
-    }
-    plain = gold | {"ref_doi": ("str", "'https://dx.doi.org/10.1/' || o_custkey"), "note": ("str", "'checked'")}
-
-    def spoilt(run: str) -> dict[str, tuple[str, str]]:
-        return {
-            "status": ("str", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'X' END"), "priority": ("str", "lower(replace(o_orderpriority, '-', ' '))"),
-            "is_open": ("str", "CASE WHEN o_orderstatus='O' THEN 'true' ELSE 'false' END"), "ref_doi": ("str", "'10.1/' || o_custkey"), "dims": ("str", "o_custkey || ',' || o_orderkey || 'px'"),
-            "custkey": ("int", "CAST(o_custkey + 1 AS VARCHAR)") if run == "baseline" else ("str", "CAST(o_custkey AS VARCHAR)"), "price": ("str", "NULL"), "note": ("str", "NULL"),
-        }
-
-    legacy = {
-        "status": ("str", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus ELSE o_orderpriority END"), "priority": ("str", "CASE WHEN o_orderkey % 3 <> 0 THEN o_orderpriority ELSE o_orderstatus END"),
-        "is_open": gold["is_open"], "ref_doi": gold["ref_doi"], "dims": ("str", "CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey || ' x ' || o_orderkey END"), "custkey": ("str", "CAST(o_custkey AS VARCHAR)"),
-    }
-
-    def columns(p: str, tag: str, text: str) -> str:
-        num = f"CAST({text} AS DOUBLE)" if tag in ("int", "float") else "NULL::DOUBLE"
-        return f"CASE WHEN ({text}) IS NOT NULL THEN '{tag}' END {p}_tag, ({text}) {p}_text, {num} {p}_num"
 
-    def run_columns(p: str, run: str, i: int, name: str) -> str:
-        step = RUNS[run][0]
-        (t1, x1), (t0, x0) = spoilt(run)[name], plain[name]
-        cond = f"(o_orderkey + {i}) % {step} = 0"
-        num = lambda t, x: f"CAST({x} AS DOUBLE)" if t in ("int", "float") else "NULL::DOUBLE"
-        tag = lambda t, x: f"CASE WHEN ({x}) IS NOT NULL THEN '{t}' END"
-        return f"CASE WHEN {cond} THEN {tag(t1, x1)} ELSE {tag(t0, x0)} END {p}_tag, CASE WHEN {cond} THEN ({x1}) ELSE ({x0}) END {p}_text, CASE WHEN {cond} THEN {num(t1, x1)} ELSE {num(t0, x0)} END {p}_num"
+    def columns(p: str, tag: str, text: str, num: str) -> str:
+        return f"CASE WHEN ({text}) IS NOT NULL THEN {tag} END {p}_tag, ({text}) {p}_text, CASE WHEN ({text}) IS NOT NULL THEN {num} END {p}_num"
 
+    runs = {run: predicted(run) for run in RUNS}
     parts = []
-    for i, (name, ontology, required) in enumerate(FIELDS):
-        old = columns("l", *legacy.get(name, ("str", "CAST(NULL AS VARCHAR)")))
+    for name, ontology, required in FIELDS:
+        old = columns("l", *cell(*LEGACY.get(name, ("str", "CAST(NULL AS VARCHAR)"))))
         parts.append(
             f"SELECT o_orderpriority assay, CAST(o_orderkey AS VARCHAR) record, o_orderkey k, '{name}' field, '{'ontology' if ontology else 'non_ontology'}' field_type, {str(required).upper()} required, "
-            f"{columns('g', *gold[name])}, {run_columns('b', 'baseline', i, name)}, {run_columns('e', 'experiment', i, name)}, {old} FROM orders"
+            f"{columns('g', *cell(*GOLD[name]))}, {columns('b', *runs['baseline'][name])}, {columns('e', *runs['experiment'][name])}, {old} FROM orders"
         )
     cells = "cells AS (" + " UNION ALL ".join(parts) + ")"
     ok = []
     for p in "bel":
-        doi = lambda x: f"CASE WHEN ends_with(field,'_doi') THEN replace(lower({x}),'https://doi.org/','https://dx.doi.org/') ELSE lower({x}) END"
+        doi = lambda x: f"CASE WHEN ends_with(field,'_doi') THEN replace({x},'https://doi.org/','https://dx.doi.org/') ELSE {x} END"
         ok.append(
             f"CASE WHEN g_text IS NULL THEN {p}_text IS NULL WHEN {p}_text IS NULL THEN FALSE WHEN g_tag='str' AND {p}_tag='str' THEN {doi('g_text')} = {doi(f'{p}_text')} "
             f"WHEN g_tag='str' OR {p}_tag='str' THEN FALSE ELSE g_num = {p}_num END {p}_ok"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,10 @@ ACC3 = ("ontology_constrained_field_accuracy", "non_ontology_constrained_field_a
 POOL3 = ("ontology_constrained_accuracy", "non_ontology_constrained_accuracy", "all_field_accuracy")
 
 
+def _places(names: tuple, places: int = 2) -> str:
+    return ", ".join(f"round_even({n} * {10**places}, 0) / {10.0**places} {n}" for n in names)
+
+
 def _share(ok: str, kind: str | None) -> str:
     of = "" if kind is None else f" FILTER (WHERE field_type = '{kind}')"
     return f"coalesce(CAST(count_if({ok}){of} AS DOUBLE) / nullif(count(*){of}, 0), 0.0)"
@@ -86,22 +92,32 @@ LABELS = "(VALUES " + ", ".join(f"('{k}', '{n}')" for k, n in O.ASSAYS) + ") lab
 
 @query("assay_summary", WITH + f"SELECT label assay, {', '.join(_r(f'avg({n})', n) for n in ACC3)} FROM ({RECORD_SQL}) r JOIN {LABELS} ON key = r.assay GROUP BY label")
 def _(spark, sf_dir):
-    return rounded(A.assay_summary(facts(spark, sf_dir), assays(spark)), *ACC3)
+    return rounded(A.assay_summary(facts(spark, sf_dir), assays(spark), None), *ACC3)
 
 
 @query("overall_summary", WITH + f"SELECT {_accuracies('e_ok', POOL3)} FROM experiment")
 def overall_summary(spark, sf_dir):
+    return A.overall_summary(facts(spark, sf_dir), None)
+
+
+@query("assay_summary_rounded", WITH + f"SELECT label assay, {_places(ACC3)} FROM (SELECT assay, {', '.join(f'avg({n}) {n}' for n in ACC3)} FROM ({RECORD_SQL}) GROUP BY assay) r JOIN {LABELS} ON key = r.assay")
+def _(spark, sf_dir):
+    return A.assay_summary(facts(spark, sf_dir), assays(spark))
+
+
+@query("overall_summary_rounded", WITH + f"SELECT {_places(POOL3)} FROM (SELECT {_accuracies('e_ok', POOL3)} FROM experiment)")
+def _(spark, sf_dir):
     return A.overall_summary(facts(spark, sf_dir))
 
 
 @query("uncorrected_summary", WITH + f"SELECT {_accuracies('l_ok', POOL3)} FROM uncorrected")
 def _(spark, sf_dir):
-    return A.overall_summary(facts(spark, sf_dir, "legacy"))
+    return A.overall_summary(facts(spark, sf_dir, "legacy"), None)
 
 
 @query("uncorrected_populated", WITH + f"SELECT {_accuracies('l_ok', POOL3)} FROM uncorrected WHERE g_text IS NOT NULL")
 def _(spark, sf_dir):
-    return A.overall_summary(A.populated(facts(spark, sf_dir, "legacy")))
+    return A.overall_summary(A.populated(facts(spark, sf_dir, "legacy")), None)
 
 
 def _dedup(where: str = "") -> str:
@@ -154,15 +170,14 @@ def flat(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"gold_value": F.col("gold_value.text"), "predicted_value": F.col("predicted_value.text")})
 
 
-@query("error_rows", WITH + ERRORS + " SELECT assay, record file, field, error_type, kind field_type, required, g_text gold_value, e_text predicted_value FROM wrong WHERE field <> 'price' UNION ALL SELECT assay, record, field, error_type, kind, required, NULL, NULL FROM wrong WHERE field = 'price'")
+@query("error_rows", WITH + ERRORS + " SELECT assay, record file, field, error_type, kind field_type, required, g_text gold_value, e_text predicted_value FROM wrong")
 def _(spark, sf_dir):
-    out = flat(E.error_rows(facts(spark, sf_dir)))  # a float's text depends on the library that prints it
-    return out.withColumn("gold_value", F.when(F.col("field") != "price", F.col("gold_value")))
+    return flat(E.error_rows(facts(spark, sf_dir)))
 
 
-@query("error_report", WITH + ERRORS + " SELECT error_type, kind field_type, field || ': ' || coalesce(g_text, 'None') expected_value, field || ': ' || coalesce(e_text, 'None') predicted_value, count(*) frequency, string_agg(DISTINCT assay, ', ' ORDER BY assay) assays FROM wrong WHERE field <> 'price' GROUP BY ALL")
+@query("error_report", WITH + ERRORS + " SELECT error_type, kind field_type, field || ': ' || coalesce(g_text, 'None') expected_value, field || ': ' || coalesce(e_text, 'None') predicted_value, count(*) frequency, string_agg(DISTINCT assay, ', ' ORDER BY assay) assays FROM wrong GROUP BY ALL")
 def _(spark, sf_dir):
-    return E.error_report(E.error_rows(facts(spark, sf_dir)).where("field <> 'price'"))
+    return E.error_report(E.error_rows(facts(spark, sf_dir)))
 
 
 def detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +195,9 @@ CAUSES = ERRORS + """, old AS (SELECT record, list(coalesce(lower(trim(l_text)),
  WHEN g <> '' AND field_type <> 'ontology' AND len(list_filter(held, lambda v: v <> '' AND contains(v, g))) = 0 THEN 'external_information_required' ELSE 'other' END cause FROM asked)"""
 
 
-@query("error_detail", WITH + CAUSES + " SELECT assay, record file, field, error_type, kind field_type, required, cause FROM caused")
+@query("error_detail", WITH + CAUSES + " SELECT assay, record file, field, error_type, kind field_type, required, g_text gold_value, e_text predicted_value, cause FROM caused")
 def _(spark, sf_dir):
-    return detail(spark, sf_dir).drop("gold_value", "predicted_value")
+    return flat(detail(spark, sf_dir))
 
 
 for _key, _sql in (("error_type", ERRORS + " SELECT kind field_type, error_type, count(*) count FROM wrong GROUP BY ALL"), ("cause", CAUSES + " SELECT kind field_type, cause, count(*) count FROM caused GROUP BY ALL")):
@@ -232,6 +247,31 @@ def _(spark, sf_dir):
     return rounded(S.mcnemar_counts(rows), "statistic")
 
 
+#: Two-sided normal tail of z by Simpson's rule.
+TAIL = "(1 - list_sum(list_transform(range(0, 801), lambda i: CASE WHEN i = 0 OR i = 800 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-pow({z} / sqrt(2) * i / 800, 2)))) * {z} / sqrt(2) / 2400 * 2 / sqrt(pi()))"
+
+
+@query("mcnemar_p", WITH + PAIRED + f" SELECT category, b, c, round(CASE WHEN x > 144 THEN 0 ELSE {TAIL.format(z='sqrt(x)')} END, 7) p FROM (SELECT *, {MCNEMAR} x FROM (SELECT category, CAST(sum(base_only) AS BIGINT) b, CAST(sum(arms_only) AS BIGINT) c FROM pairs GROUP BY category))")
+def _(spark, sf_dir):
+    return rounded(S.with_mcnemar_p(S.mcnemar_counts(paired(spark, sf_dir), "category")).select("category", "b", "c", "p"), "p", places=7)
+
+
+@query("mcnemar_exact", """SELECT *, CASE WHEN b + c = 0 THEN 1 ELSE round(least(1, 2 * list_sum(list_transform(range(0, CAST(least(b, c) AS BIGINT) + 1), lambda i: CAST(factorial(CAST(b + c AS INT)) AS DOUBLE) / factorial(CAST(i AS INT)) / factorial(CAST(b + c - i AS INT)))) / pow(2, b + c)), 9) END p
+ FROM (SELECT doc_id % 40 part, CAST(count_if(quality = 1 AND toxic = 0) AS BIGINT) b, CAST(count_if(quality = 0 AND toxic = 1) AS BIGINT) c FROM labels WHERE doc_id % 40 >= 0 GROUP BY 1) WHERE b + c < 25""")
+def _(spark, sf_dir):
+    ok = lambda x: F.col(x) == 1
+    rows = table(spark, sf_dir, "labels").select((F.col("doc_id") % 40).alias("part"), (ok("quality") & ~ok("toxic")).cast("long").alias("base_only"), (ok("toxic") & ~ok("quality")).cast("long").alias("arms_only"))
+    return rounded(S.with_mcnemar_p(S.mcnemar_counts(rows, "part").where("n_discordant < 25")).select("part", "b", "c", "p"), "p")
+
+
+@query("wilcoxon_p", WITH + PAIRED + f""", d AS (SELECT category, arms_correct / total - base_correct / total d FROM pairs), g AS (SELECT category, abs(d) size, count(*) t, count_if(d > 0) up FROM d WHERE d <> 0 GROUP BY ALL),
+ r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY category ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 rank FROM g),
+ w AS (SELECT category, sum(t)::DOUBLE n, sum(t::DOUBLE * t * t - t) ties, least(sum(rank * up), sum(rank * (t - up)))::DOUBLE w FROM r GROUP BY category), z AS (SELECT *, abs(w - n * (n + 1) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24) z FROM w)
+ SELECT category, round(CASE WHEN z > 12 THEN 0 ELSE {TAIL.format(z='z')} END, 7) p FROM z""")
+def _(spark, sf_dir):
+    return rounded(S.with_wilcoxon_p(S.wilcoxon_ranks(paired(spark, sf_dir), "category")).select("category", "p"), "p", places=7)
+
+
 @query("wilcoxon", WITH + PAIRED + """, d AS (SELECT category, arms_correct / total - base_correct / total d FROM pairs), g AS (SELECT category, abs(d) size, count(*) t, count_if(d > 0) up FROM d WHERE d <> 0 GROUP BY ALL),
  r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY category ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 rank FROM g)
  SELECT category, sum(rank * up)::DOUBLE w_plus, sum(rank * (t - up))::DOUBLE w_minus, sum(t)::BIGINT n_nonzero, sum(t::DOUBLE * t * t - t) tie_sum, least(sum(rank * up), sum(rank * (t - up)))::DOUBLE statistic FROM r GROUP BY category""")
@@ -257,10 +297,27 @@ def _(spark, sf_dir):
     return S.per_assay_table(paired(spark, sf_dir), assays(spark))
 
 
-@query("plot_stats", WITH + f", b AS (SELECT assay, record, 'baseline' run_type, {_share('b_ok', None)} score FROM baseline GROUP BY ALL UNION ALL SELECT assay, record, 'experiment', {_share('e_ok', None)} FROM experiment GROUP BY ALL) SELECT assay, run_type, round(avg(score), 9) mean, round(min(score), 9) low, round(max(score), 9) high, count(*) n_records FROM b GROUP BY ALL")
+SCORES = f", b AS (SELECT assay, record, 'baseline' run_type, {_share('b_ok', None)} score FROM baseline GROUP BY ALL UNION ALL SELECT assay, record, 'experiment', {_share('e_ok', None)} FROM experiment GROUP BY ALL)"
+RANGES = " SELECT assay, run_type, avg(score) mean, min(score) low, max(score) high, count(*) n_records FROM b GROUP BY ALL"
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.run_scores(A.run_facts(O.records(spark, sf_dir), O.schema(spark), list(O.RUNS)))
+
+
+@query("plot_stats", WITH + SCORES + f" SELECT assay, run_type, {_r('mean', 'mean')}, {_r('low', 'low')}, {_r('high', 'high')}, n_records FROM ({RANGES})")
+def _(spark, sf_dir):
+    return rounded(A.score_ranges(scores(spark, sf_dir)), "mean", "low", "high")
+
+
+@query("plot_chart", WITH + SCORES + f" SELECT label assay, r.run_type, round(coalesce(mean, 0), 9) mean, round(coalesce(low, 0), 9) low, round(coalesce(high, 0), 9) high FROM {LABELS} CROSS JOIN (VALUES ('baseline'), ('experiment'), ('none')) r(run_type) LEFT JOIN ({RANGES}) x ON x.assay = key AND x.run_type = r.run_type")
 def _(spark, sf_dir):
-    runs = [facts(spark, sf_dir, r).withColumn("run_type", F.lit(r)) for r in O.RUNS]
-    return rounded(A.plot_stats(runs[0].unionByName(runs[1])), "mean", "low", "high")
+    return rounded(A.chart_rows(A.score_ranges(scores(spark, sf_dir)), assays(spark), [*O.RUNS, "none"]), "mean", "low", "high")
+
+
+@query("plot_intervals")
+def _(spark, sf_dir):
+    return S.score_intervals(scores(spark, sf_dir))
 
 
 @query("empty_terms", "SELECT lower(trim(term)) term FROM (SELECT event_type || '|' || user_id || '|' || strftime(ts, '%Y-%m-%d') term, CASE WHEN k < 50 THEN 0 ELSE k END total FROM (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) k FROM events)) GROUP BY 1 HAVING max(total) = 0")
@@ -337,19 +394,21 @@ def _(spark, sf_dir):
     return L.exact_sample(names, names.select("source").distinct().withColumn("n", F.lit(25)), 7).select("source", "name")
 
 
-@query("pairing_check", "SELECT lang AS source, count_if(l.doc_id IS NOT NULL) n_paired, count_if(l.doc_id IS NULL) n_left_alone FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY lang")
+@query("pairing_check", "SELECT lang AS source, count_if(l.doc_id IS NOT NULL) n_paired, count_if(l.doc_id IS NULL) n_unmatched FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) WHERE lang IS NOT NULL GROUP BY lang")
 def _(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("source"), F.col("doc_id").alias("name"))
-    marked = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name"), F.lit(True).alias("paired")).distinct(), "name", "left")
-    return marked.groupBy("source").agg(F.count("paired").alias("n_paired"), F.count(F.when(F.col("paired").isNull(), 1)).alias("n_left_alone"))
+    docs = table(spark, sf_dir, "documents").where("lang is not null and doc_id is not null").select(F.col("lang").alias("source"), F.col("doc_id").alias("name"))
+    known = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("name")), "name", "left_semi")
+    both, _ = L.paired_names(docs, known)
+    counts = both.groupBy("source").agg(F.count("*").alias("n_paired")).join(L.unmatched_counts(docs, known), "source", "full")
+    return counts.select("source", F.coalesce("n_paired", F.lit(0)).cast("long").alias("n_paired"), F.coalesce("n_unmatched", F.lit(0)).cast("long").alias("n_unmatched"))
 
 
-@query("value_match_flags", "SELECT p_partkey, lower(p_type) = lower(p_brand) whole_word, contains(lower(p_type), lower(split_part(p_type, ' ', 1))) inside, lower(p_type) = p_type same_case FROM part")
+@query("value_match_flags", "SELECT p_partkey, p_type = p_brand whole_word, contains(p_type, split_part(p_type, ' ', 1)) inside, lower(p_type) = p_type same_case, TRUE folded FROM part")
 def _(spark, sf_dir):
     v = lambda c: V.value("str", c)
     match = lambda p, g, **k: V.values_match(v(p), v(g), F.lit("name"), **k)
     kind = F.col("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", match(kind, F.col("p_brand")).alias("whole_word"), match(kind, F.split_part(kind, F.lit(" "), F.lit(1)), match_whole_word=False).alias("inside"), match(F.lower(kind), kind, match_case=True).alias("same_case"))
+    return table(spark, sf_dir, "part").select("p_partkey", match(kind, F.col("p_brand")).alias("whole_word"), match(kind, F.split_part(kind, F.lit(" "), F.lit(1)), match_whole_word=False).alias("inside"), match(F.lower(kind), kind).alias("same_case"), match(F.lower(kind), kind, match_case=False).alias("folded"))
 
 
 @query("doi_normalise", "SELECT o_orderkey, replace('https://doi.org/10.1/' || o_custkey, 'https://doi.org/', 'https://dx.doi.org/') doi FROM orders")
@@ -373,39 +432,81 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", V.format_interval(x, x - 1, x + 1).alias("ci"), V.format_p(x).alias("p"))
 
 
-@query("cache_keys")
+@query("cache_keys", """SELECT event_id, sha256('{"func_name": "search", "params": {"event": "' || event_type || '", "user": "' || user_id || '"}}') cache_key FROM events""")
 def _(spark, sf_dir):
     params = F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("event"), F.col("event_type"))
     return table(spark, sf_dir, "events").select("event_id", V.cache_key(F.lit("search"), params).alias("cache_key"))
 
 
-TEMPLATE = {
-    "type": "template", "name": "Orders", "children": [
-        {"name": "status", "type": "string", "required": True, "permissible_values": [{"type": "branch", "ontology_acronym": "ORD"}]},
-        {"name": "count", "type": "integer", "required": False},
-        {"name": "ship", "type": "element", "multivalued": True, "children": [{"name": "city", "type": "string", "permissible_values": [{"type": "branch", "ontology_acronym": "GEO"}, {"type": "ontology", "ontology_acronym": "X"}]}, {"name": "on", "type": "date"}]},
-    ],
-}
+@query("picked_terms", """SELECT p_type AS query, p_brand AS acronym, CASE WHEN cached THEN 'cached' ELSE label END label, CASE WHEN cached THEN 'c' ELSE iri END iri, cached from_cache FROM (SELECT p_type, p_brand, min(p_partkey) % 2 = 0 cached FROM part GROUP BY ALL)
+ LEFT JOIN (SELECT p_brand, p_name AS label, CAST(p_partkey AS VARCHAR) iri, p_type FROM (SELECT t.p_brand, t.p_name, t.p_partkey, q.p_type, row_number() OVER (PARTITION BY q.p_type, q.p_brand ORDER BY CASE WHEN lower(t.p_name) = lower(q.p_type) THEN 1.0 WHEN contains(lower(t.p_name), lower(q.p_type)) OR contains(lower(q.p_type), lower(t.p_name)) THEN 0.7 WHEN lower(t.p_type) = lower(q.p_type) THEN 0.6
+ WHEN contains(lower(t.p_type), lower(q.p_type)) OR contains(lower(q.p_type), lower(t.p_type)) THEN 0.4 ELSE 0.1 END DESC, t.p_partkey) r FROM part t JOIN (SELECT DISTINCT p_type, p_brand FROM part) q USING (p_brand)) WHERE r = 1) USING (p_type, p_brand)""")
+def _(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    terms = part.select(F.col("p_brand").alias("acronym"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("label"), F.array("p_type").alias("synonyms"), F.lit(False).alias("obsolete"), F.col("p_partkey").cast("string").alias("iri"))
+    asked = part.groupBy(F.col("p_type").alias("query"), F.col("p_brand").alias("acronym")).agg(F.min("p_partkey").alias("least"))
+    known = asked.where("least % 2 = 0").select(L.pick_key("query", "acronym").alias("key"), F.lit(0.0).alias("created_at"), F.lit(L.DAY).alias("ttl"), F.lit("cached").alias("label"), F.lit("c").alias("iri"))
+    return L.picked_terms(asked, terms, known, F.lit(60.0), False)
+
+
+def region_templates(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a template for each region, whose fields are the region's nations, and a record of each nation's suppliers."""
+    folder = R.scratch_folder(spark, "templates")
+    rows = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").select("r_name", "n_name", "n_nationkey").collect()
+    for region in sorted({r["r_name"] for r in rows}):
+        nations = [{"name": r["n_name"], "type": "integer" if r["n_nationkey"] % 2 else "string", "required": r["n_nationkey"] % 2 == 0, "permissible_values": [{"type": ("branch", "ontology", "value")[r["n_nationkey"] % 3], "ontology_acronym": r["n_name"][:3]}]} for r in rows if r["r_name"] == region]
+        place = {"name": "place", "type": "element", "multivalued": True, "children": nations}
+        R.write_text(spark, f"{folder}/schemas/{region}.json", json.dumps({"type": "template", "name": region, "children": [*nations, place]}))
+    return folder
 
 
-@query("flatten_template", "SELECT * FROM (VALUES (0, 'status'), (1, 'count'), (2, 'ship.city'), (3, 'ship.on')) t(ord, field)")
+NATIONS = "(SELECT r_name, n_name, n_nationkey k, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS i, count(*) OVER (PARTITION BY r_name) n FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query("schema_fields", f"SELECT r_name assay, n_name field, k % 3 < 2 is_ontology, k % 2 = 0 required, i ord FROM {NATIONS} UNION ALL SELECT r_name, 'place', FALSE, FALSE, max(n) FROM {NATIONS} GROUP BY r_name")
 def _(spark, sf_dir):
-    return spark.createDataFrame(list(enumerate(T.field_names(TEMPLATE))), "ord int, field string")
+    return R.read_templates(spark, region_templates(spark, sf_dir))
 
 
-@query("ontology_instructions", "SELECT * FROM (VALUES ('- status: value should be one of the ORD ontology concepts'), ('- ship.city: value should be one of the GEO ontology concepts')) t(line)")
+@query("flatten_template", f"SELECT r_name assay, i ord, n_name field FROM {NATIONS} UNION ALL SELECT r_name, i + n, 'place.' || n_name FROM {NATIONS}")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in T.instructions(TEMPLATE)], "line string")
+    rows = [(assay, i, name) for assay, t in R.load_templates(spark, region_templates(spark, sf_dir)) for i, name in enumerate(T.field_names(t))]
+    return spark.createDataFrame(rows, "assay string, ord int, field string")
 
 
-@query("template_schema", "SELECT * FROM (VALUES ('status', 'string'), ('count', 'bigint'), ('ship', 'array<struct<city:string,on:string>>')) t(field, type)")
+@query("ontology_instructions", f"SELECT r_name assay, '- ' || p || n_name || ': value should be one of the ' || left(n_name, 3) || ' ontology concepts' line FROM {NATIONS}, (VALUES (''), ('place.')) v(p) WHERE k % 3 = 0")
 def _(spark, sf_dir):
-    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in T.schema_of(TEMPLATE)], "field string, type string")
+    rows = [(assay, line) for assay, t in R.load_templates(spark, region_templates(spark, sf_dir)) for line in T.instructions(t)]
+    return spark.createDataFrame(rows, "assay string, line string")
 
 
-@query("schema_fields", "SELECT * FROM (VALUES ('orders', 'status', TRUE, TRUE, 0), ('orders', 'count', FALSE, FALSE, 1), ('orders', 'ship', FALSE, FALSE, 2)) t(assay, field, is_ontology, required, ord)")
+@query("template_schema", f"""SELECT r_name assay, n_name field, CASE WHEN k % 2 = 1 THEN 'bigint' ELSE 'string' END AS type FROM {NATIONS}
+ UNION ALL SELECT r_name, 'place', 'array<struct<' || string_agg(n_name || ':' || CASE WHEN k % 2 = 1 THEN 'bigint' ELSE 'string' END, ',' ORDER BY k) || '>>' FROM {NATIONS} GROUP BY r_name""")
 def _(spark, sf_dir):
-    return spark.createDataFrame(R.template_rows("orders", TEMPLATE), "assay string, field string, is_ontology boolean, required boolean, ord int")
+    rows = [(assay, f.name, ",".join(f.dataType.simpleString().split(","))) for assay, t in R.load_templates(spark, region_templates(spark, sf_dir)) for f in T.schema_of(t)]
+    return spark.createDataFrame(rows, "assay string, field string, type string")
+
+
+@query("json_records", "SELECT n_name AS record_name, 'AF' assay, role, field, tag, text FROM nation, LATERAL (VALUES ('gold', 'key', 'int', CAST(n_nationkey AS VARCHAR)), ('gold', 'name', 'str', n_name || ' \"é😀\"'), ('gold', 'none', NULL, NULL), ('input', 'share', 'float', n_regionkey || '.5'), ('input', 'odd', 'bool', CASE WHEN n_nationkey % 2 = 1 THEN 'true' ELSE 'false' END)) v(role, field, tag, text)")
+def _(spark, sf_dir):
+    k = F.col("n_nationkey")
+    text = lambda tag, x, num=None: V.value(tag, x, num)
+    cells = [("gold", "key", text("int", k.cast("string"), k)), ("gold", "name", text("str", F.concat("n_name", F.lit(' "é😀"')))), ("gold", "none", V.no_value()), ("input", "share", text("float", F.concat("n_regionkey", F.lit(".5")), k)), ("input", "odd", text("bool", (k % 2 == 1).cast("string"), k))]
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(f).alias("field"), v.alias("value")) for r, f, v in cells]))
+    rows = table(spark, sf_dir, "nation").select(F.lit("AF").alias("assay"), F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("run_type"), F.col("n_name").alias("record"), each.alias("c")).select("assay", "model", "run_type", "record", "c.*")
+    folder = R.scratch_folder(spark, "records")
+    R.write_records(rows, folder)
+    read = R.read_json_records(spark, folder)
+    return read.select(F.regexp_replace("record", r"\.json$", "").alias("record_name"), "assay", "role", "field", "value.tag", "value.text")
+
+
+TEMPLATE = {
+    "type": "template", "name": "Orders", "children": [
+        {"name": "status", "type": "string", "required": True, "permissible_values": [{"type": "branch", "ontology_acronym": "ORD"}]},
+        {"name": "count", "type": "integer", "required": False},
+        {"name": "ship", "type": "element", "multivalued": True, "children": [{"name": "city", "type": "string", "permissible_values": [{"type": "branch", "ontology_acronym": "GEO"}, {"type": "ontology", "ontology_acronym": "X"}]}, {"name": "on", "type": "date"}]},
+    ],
+}
 
 
 @query("strict_records", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'missing ship' WHEN o_orderkey % 3 = 1 THEN 'unknown x' ELSE '' END problems, CASE WHEN o_orderkey % 3 = 2 THEN o_custkey END count FROM orders")
@@ -420,5 +521,5 @@ def _(spark, sf_dir):
 @query("prompts")
 def _(spark, sf_dir):
     record = {"a": 1, "b": None}
-    return spark.createDataFrame([("agent", T.agent_prompt(record, "iri")), ("baseline", T.baseline_prompt(record, TEMPLATE))], "kind string, prompt string")
+    return spark.createDataFrame([("agent", T.agent_prompt(record, "iri", "target")), ("baseline", T.baseline_prompt(record, TEMPLATE))], "kind string, prompt string")
 

@@ -3,14 +3,42 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from accordant.functions.values import json_string
+
 #: Columns of a long table of records. A run type is set for predictions alone.
 RECORDS = "assay string, role string, model string, run_type string, record string, field string, value struct<tag: string, text: string, num: double>"
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset a temporary one, on a single machine alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written by the driver."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def plain_path(encoded: Column) -> Column:
+    """A path or name as _metadata has it, which is part of a URI, as it is in the file system."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
 def read_json_records(spark: SparkSession, root: str, pattern: str = "*/*", model: str = "*") -> DataFrame:
     """Records of <root>/<assay>/(input|gold)/*.json and <root>/<assay>/output/<model>/<run_type>/*.json, one row a field.
 
@@ -23,7 +51,7 @@ def read_json_records(spark: SparkSession, root: str, pattern: str = "*/*", mode
 def _raw(spark: SparkSession, root: str, model: str) -> DataFrame:
     paths = [f"{root}/*/input/*.json", f"{root}/*/gold/*.json", f"{root}/*/output/{model}/*/*.json"]
     found = [p for p in paths if _exists(spark, p)]
-    text = spark.read.text(found, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("record"))
+    text = spark.read.text(found, wholetext=True).select("value", plain_path(F.col("_metadata.file_path")).alias("path"), plain_path(F.col("_metadata.file_name")).alias("record"))
     place = r"/([^/]+)/(?:(input|gold)|output/([^/]+)/([^/]+))/[^/]+$"
     part = lambda k: F.nullif(F.regexp_extract("path", place, k), F.lit(""))
     return text.select("value", "record", part(1).alias("assay"), F.coalesce(part(2), F.lit("output")).alias("role"), part(3).alias("model"), part(4).alias("run_type"))
@@ -71,7 +99,7 @@ def template_rows(assay: str, template: dict) -> list[tuple[str, str, bool, bool
 
 def read_templates(spark: SparkSession, root: str) -> DataFrame:
     """(assay, field, is_ontology, required, ord) from <root>/schemas/<assay>.json; of top-level fields alone."""
-    raw = spark.read.text(f"{root}/schemas/*.json", wholetext=True).select("value", F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("assay"))
+    raw = spark.read.text(f"{root}/schemas/*.json", wholetext=True).select("value", F.regexp_extract(plain_path(F.col("_metadata.file_name")), r"^(.*)\.json$", 1).alias("assay"))
     child = "struct<name: string, required: boolean, permissible_values: array<struct<type: string>>>"
     parsed = raw.select("assay", F.from_json("value", f"struct<children: array<{child}>>").alias("t"))
     each = parsed.select("assay", F.posexplode("t.children").alias("ord", "c"))
@@ -90,13 +118,29 @@ def assay_table(spark: SparkSession, assays: list[tuple[str, str]]) -> DataFrame
     return spark.range(1, numPartitions=1).select(F.inline(rows)).select("assay", "label", "ord")
 
 
-def write_records(records: DataFrame, folder: str) -> None:
-    """One JSON object a line for each record, in folders by assay, model and run type."""
-    plain = F.when(F.col("value.tag") == "str", F.to_json(F.struct(F.col("value.text").alias("x"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col("value.text").alias("x")))) - 6)).otherwise(F.coalesce("value.text", F.lit("null")))
-    name = F.to_json(F.struct(F.col("field").alias("x")))
-    pair = F.concat(name.substr(F.lit(6), F.length(name) - 6), F.lit(": "), plain)
-    rows = records.groupBy("assay", "model", "run_type", "record").agg(F.concat(F.lit("{"), F.array_join(F.sort_array(F.collect_list(pair)), ", "), F.lit("}")).alias("body"))
-    rows.write.mode("overwrite").partitionBy("assay", "model", "run_type").json(folder)
+def write_records(records: DataFrame, root: str) -> int:
+    """One JSON file for each record, in the folders that read_json_records reads; how many files were written.
+
+    Tasks write their own records, each file under its final name, so a repeated attempt writes the same bytes again.
+    """
+    text = F.when(F.col("value.tag") == "str", json_string(F.col("value.text"))).otherwise(F.coalesce("value.text", F.lit("null")))
+    pair = F.concat(F.lit("  "), json_string(F.col("field")), F.lit(": "), text)
+    place = F.when(F.col("role") == "output", F.concat_ws("/", "assay", F.lit("output"), "model", "run_type")).otherwise(F.concat_ws("/", "assay", "role"))
+    rows = records.groupBy(place.alias("place"), "record").agg(F.concat(F.lit("{\n"), F.array_join(F.sort_array(F.collect_list(pair)), ",\n"), F.lit("\n}")).alias("body"))
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pfs
+
+        fs, top = pfs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pfs.LocalFileSystem(), root)
+        for batch in batches:
+            for folder, name, body in zip(*(c.to_pylist() for c in batch.columns)):
+                fs.create_dir(f"{top}/{folder}", recursive=True)
+                with fs.open_output_stream(f"{top}/{folder}/{name if name.endswith('.json') else name + '.json'}") as out:
+                    out.write(body.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
 def write_csv(result: DataFrame, folder: str) -> None:
@@ -109,5 +153,14 @@ def write_pairs(chosen: DataFrame, folder: str, overwrite: bool = False) -> None
     chosen.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("source", "role").json(folder)
 
 
-def load_template(text: str) -> dict:
-    return json.loads(text)
+def load_templates(spark: SparkSession, root: str) -> list[tuple[str, dict]]:
+    """(assay, template) of <root>/schemas/*.json, in order of name: a few templates, kept on the driver."""
+    raw = spark.read.text(f"{root}/schemas/*.json", wholetext=True).select("value", F.regexp_extract(plain_path(F.col("_metadata.file_name")), r"^(.*)\.json$", 1).alias("assay"))
+    return [(r["assay"], json.loads(r["value"])) for r in raw.orderBy("assay").collect()]
+
+
+def target_file(target: str | None, name: str, default_folder: str | None = None) -> str:
+    """Where one result goes: a file as named, a folder with the input's name in it, or by default a temporary folder."""
+    if target is None:
+        return os.path.join(default_folder or tempfile.gettempdir(), name)
+    return os.path.join(target, name) if os.path.isdir(target) or target.endswith(os.sep) else target

@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from accordant.functions import values as V
+from accordant.operators import batches
 from accordant.operators import errors as E
 from accordant.operators import facts as A
 from accordant.operators import lookup as L
 from accordant.operators import statistics as S
 from accordant.operators import templates as T
 from accordant.sources import records as R
+from accordant.streaming import cache
 
 TEMPLATE = {"name": "t", "children": [{"name": "tissue", "permissible_values": [{"type": "ontology"}], "required": True}, {"name": "title"}, {"name": "note"}, {"name": "n"}]}
 
@@ -59,20 +61,25 @@ def test_accuracies(spark, root, rows):
     facts = A.field_facts(rows, R.read_templates(spark, root), A.run("experiment")).cache()
     each = {r["record"]: r.asDict() for r in A.record_accuracy(facts).collect()}
     assert set(each) == {"r0.json", "r1.json", "r2.json"}  # records without predictions are out
-    assert each["r0.json"]["ontology_constrained_field_accuracy"] == 1.0
-    assert each["r0.json"]["all_field_accuracy"] == 0.75
+    assert each["r0.json"]["ontology_constrained_field_accuracy"] == 0.0  # case counts
+    assert each["r0.json"]["all_field_accuracy"] == 0.5
+    folded = A.field_facts(rows, R.read_templates(spark, root), A.run("experiment"), match_case=False)
+    assert {r["all_field_accuracy"] for r in A.record_accuracy(folded).collect()} == {0.75}
     dedup = A.dedup_summary(facts).first()
-    assert (dedup["n_ontology_pairs"], dedup["n_unique_pairs"]) == (1, 6) and dedup["all_field_accuracy"] == 0.5
+    assert (dedup["n_ontology_pairs"], dedup["n_unique_pairs"]) == (1, 6) and dedup["all_field_accuracy"] == pytest.approx(2 / 6)
     gold = rows.where(A.gold_side()).select("assay", "field", F.col("value").alias("gold"))
     split = {r["bucket"]: (r["accuracy"], r["n_instances"]) for r in A.frequency_split(facts, gold).collect()}
-    assert split == {"singleton": (0.0, 3), "recurring": (1.0, 9)}
+    assert split == {"singleton": (0.0, 3), "recurring": (pytest.approx(2 / 3), 9)}
     assert {r["bucket"]: r["n_instances"] for r in A.frequency_split(facts, gold, "ontology").collect()} == {"singleton": 0, "recurring": 3}
 
 
 def test_uncorrected_counts_populated_fields(spark, root, rows):
     facts = A.field_facts(rows, R.read_templates(spark, root), A.legacy_side())
-    assert A.overall_summary(facts).first()["all_field_accuracy"] == 0.25
-    assert A.overall_summary(A.populated(facts)).first()["all_field_accuracy"] == pytest.approx(1 / 3)
+    assert A.overall_summary(facts).first()["all_field_accuracy"] == 0.0
+    folded = A.field_facts(rows, R.read_templates(spark, root), A.legacy_side(), match_case=False)
+    assert A.overall_summary(folded).first()["all_field_accuracy"] == 0.25
+    assert A.overall_summary(A.populated(folded)).first()["all_field_accuracy"] == 0.33
+    assert A.overall_summary(A.populated(folded), None).first()["all_field_accuracy"] == pytest.approx(1 / 3)
 
 
 def match(spark, gold, pred, field="f", **flags):
@@ -84,7 +91,7 @@ def match(spark, gold, pred, field="f", **flags):
     ("gold", "pred", "field", "flags", "expected"),
     [
         (None, None, "f", {}, True), ("a", None, "f", {}, False), (None, "a", "f", {}, False), ("", "", "f", {}, True), ("", None, "f", {}, False),
-        ("World", "hello world", "f", {"match_whole_word": False}, True), ("hello world", "world", "f", {"match_whole_word": False}, False),
+        ("World", "hello world", "f", {"match_whole_word": False}, False), ("World", "hello world", "f", {"match_whole_word": False, "match_case": False}, True), ("A", "a", "f", {}, False), ("A", "a", "f", {"match_case": False}, True), ("hello world", "world", "f", {"match_whole_word": False}, False),
         ("A", "a", "f", {"match_case": True}, False), ("https://doi.org/1", "https://dx.doi.org/1", "x_doi", {}, True), ("https://doi.org/1", "https://dx.doi.org/1", "x", {}, False),
     ],
 )
@@ -95,7 +102,7 @@ def test_match(spark, gold, pred, field, flags, expected):
 @pytest.mark.parametrize(
     ("field", "gold", "pred", "label"),
     [
-        ("f", "Yes", "true", "boolean_representation"), ("a_doi", "https://doi.org/1", "1", "doi_format"), ("f", "a-b c", "A_BC", "delimiter_or_case"),
+        ("f", "Yes", "true", "boolean_representation"), ("a_doi", "https://doi.org/1", "1", "doi_format"), ("a_doi", " https://doi.org/1", "1x", "doi_format"), ("f", "Yes", "yes", "boolean_representation"), ("f", "Axio Scan.Z1", "axio scan.z1", "delimiter_or_case"), ("f", "a-b c", "A_BC", "delimiter_or_case"),
         ("f", "3 um", "3um/x", "numeric_format_in_string"), ("f", "x", "y", "wrong_value"), ("f", None, "y", "hallucinated_non_null"), ("f", "x", None, "missed_non_null"), ("f", None, None, None),
     ],
 )
@@ -142,9 +149,10 @@ def test_paired_tables(spark, root, rows):
     paired = S.paired_counts(A.with_outcomes(cells)).cache()
     assert paired.count() == 9
     row = S.mcnemar_counts(paired.where("category = 'all'")).first()
-    assert (row["b"], row["c"], row["statistic"]) == (0, 9, 0.0)
+    assert (row["b"], row["c"], row["statistic"]) == (0, 6, 0.0)
+    assert S.with_mcnemar_p(S.mcnemar_counts(paired.where("category = 'all'"))).first()["p"] == pytest.approx(S.mcnemar_p(0, 6))
     table = {r["category"]: r for r in S.overall_table(paired).collect()}
-    assert table["all"]["n_records"] == 3 and table["all"]["arms"] == "0.75 [0.75, 0.75]" and table["ontology"]["mcnemar_c"] == 3
+    assert table["all"]["n_records"] == 3 and table["all"]["arms"] == "0.50 [0.50, 0.50]" and table["ontology"]["mcnemar_c"] == 0
     each = S.per_assay_table(paired, R.assay_table(spark, [("w", "W"), ("x", "X")])).collect()
     assert [r["assay"] for r in each] == ["X"]
 
@@ -224,7 +232,122 @@ def test_templates(spark):
     assert found[0]["parsed"]["a"]["b"] == 1 and found[1]["parsed"] is None
 
 
-def test_sinks(spark, rows, tmp_path):
-    R.write_records(rows.where("role = 'output'"), str(tmp_path / "out"))
-    body = json.loads(spark.read.json(str(tmp_path / "out")).where("run_type = 'experiment' and record = 'r0.json'").first()["body"])
-    assert body == {"tissue": "LUNG", "title": "wrong", "note": None, "n": 1.0, "extra": 5}
+def test_records_are_read_back(spark, rows, tmp_path):
+    before = {tuple(r) for r in rows.collect()}
+    files = R.write_records(rows, str(tmp_path / "out"))
+    assert files == 13 and {tuple(r) for r in R.read_json_records(spark, str(tmp_path / "out")).collect()} == before
+    body = (tmp_path / "out" / "x" / "output" / "m" / "experiment" / "r0.json").read_text()
+    assert json.loads(body) == {"tissue": "LUNG", "title": "wrong", "note": None, "n": 1.0, "extra": 5} and body.startswith('{\n  "')
+
+
+def test_other_sinks(spark, tmp_path):
+    frame = spark.createDataFrame([("s", "gold", "a", "{}"), ("s", "input", "a", "{}")], "source string, role string, name string, value string")
+    R.write_pairs(frame, str(tmp_path / "pairs"))
+    with pytest.raises(Exception, match="already exists"):
+        R.write_pairs(frame, str(tmp_path / "pairs"))
+    R.write_pairs(frame, str(tmp_path / "pairs"), overwrite=True)
+    assert spark.read.json(str(tmp_path / "pairs")).count() == 2
+    R.write_csv(frame, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == frame.columns
+    assert R.target_file(None, "a.json", "/d") == "/d/a.json" and R.target_file(str(tmp_path), "a.json") == str(tmp_path / "a.json") and R.target_file("/x/b.json", "a.json") == "/x/b.json"
+
+
+def test_plot_intervals(spark, root, rows):
+    facts = A.run_facts(rows, R.read_templates(spark, root), ["baseline", "experiment"])
+    scores = A.run_scores(facts).cache()
+    got = {r["run_type"]: tuple(r)[2:] for r in S.score_intervals(scores).collect()}
+    assert got == {"baseline": (0.0, 0.0, 0.0, 3), "experiment": (0.5, 0.5, 0.5, 3)}
+    chart = A.chart_rows(S.score_intervals(scores), R.assay_table(spark, [("w", "W"), ("x", "X")]), ["experiment", "other"]).collect()
+    assert [tuple(r) for r in chart] == [("X", "experiment", 0.5, 0.5, 0.5), ("X", "other", 0.0, 0.0, 0.0)]
+
+
+def test_draws_come_in_chunks(monkeypatch):
+    whole = S.bootstrap_mean(np.arange(5.0), np.full(5, 4))
+    monkeypatch.setattr(S, "HELD", 500)
+    assert S.bootstrap_mean(np.arange(5.0), np.full(5, 4)) == whole
+
+
+def test_rounding_is_half_to_even_after_scaling(spark):
+    got = spark.createDataFrame([(0.125,), (0.135,), (1.005,), (0.575,)], "x double").select(A.shown(F.col("x"), 2)).collect()
+    assert [r[0] for r in got] == [float(np.round(x, 2)) for x in (0.125, 0.135, 1.005, 0.575)]
+
+
+def test_sampling_refuses_too_many(spark):
+    names = spark.createDataFrame([("a", str(i)) for i in range(5)], "source string, name string")
+    counts = lambda n, s="a": spark.createDataFrame([(s, n)], "source string, n int")
+    assert L.checked_counts(names, counts(5)).first()["n"] == 5
+    for bad in (counts(6), counts(1, "b")):
+        with pytest.raises(ValueError, match="not enough paired names"):
+            L.checked_counts(names, bad)
+    assert [tuple(r) for r in L.unmatched_counts(names, names.limit(2)).collect()] == [("a", 3)]
+
+
+def test_picked_terms(spark):
+    terms = spark.createDataFrame([("X", "b1", 0, "lung", None, False, "i1"), ("X", "b2", 1, "lung", None, False, "i2"), ("Y", "b1", 0, "other", None, False, "i3")], "acronym string, branch string, pos int, label string, synonyms array<string>, obsolete boolean, iri string")
+    asked = spark.createDataFrame([("Lung", "X", "b2"), ("Lung", "X", "b2"), ("kidney", "Y", "b1"), ("old", "X", "b1")], "query string, acronym string, branch string")
+    key = asked.where("query = 'old'").select(L.pick_key("query", "acronym", "branch").alias("key"))
+    cached = key.select("key", F.lit(0.0).alias("created_at"), F.lit(10).alias("ttl"), F.lit("Old").alias("label"), F.lit("o").alias("iri"))
+    for now, old in ((5.0, ("Old", "o", True)), (50.0, (None, None, False))):
+        picked = L.picked_terms(asked, terms, cached, F.lit(now), True)
+        got = {r["query"]: tuple(r)[3:] for r in picked.collect()}
+        assert got == {"Lung": ("lung", "i2", False), "kidney": (None, None, False), "old": old}
+        assert L.new_entries(picked, F.lit(now)).count() == (2 if old[2] else 3)
+
+
+def test_cache_tables(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "cache")
+    assert L.cache_table(spark, folder).count() == 0
+    row = lambda k, v, at, bad=False: (k, v, "f", "p", at, 10, bad)
+    L.cache_set(spark.createDataFrame([row("a", "1", 0.0), row("a", "2", 5.0), row("b", "x", 5.0, True), row("c", "old", 0.0)], L.ENTRIES + ", is_error boolean"), folder)
+    assert L.cache_table(spark, folder).count() == 3
+    left = L.cache_compact(spark, folder, str(tmp_path / "next"), F.lit(12.0))
+    assert [(r["key"], r["value"]) for r in left.collect()] == [("a", "2")]
+    monkeypatch.setenv("ACCORDANT_CACHE_TTL_SECONDS", "x")
+    assert L.lifetime() == 86_400
+    monkeypatch.setenv("ACCORDANT_CACHE_TTL_SECONDS", "7")
+    monkeypatch.setenv("ACCORDANT_CACHE_DIR", "/c")
+    assert L.lifetime() == 7 and L.cache_folder() == "/c"
+
+
+def test_cache_keys_are_of_canonical_json(spark):
+    import hashlib
+
+    params = {"b": 'q"\\\n\x1f', "a": "é😀", "c": "\x7f~"}
+    expected = hashlib.sha256(json.dumps({"func_name": "f", "params": params}, sort_keys=True).encode()).hexdigest()
+    assert spark.range(1).select(V.cache_key(F.lit("f"), F.create_map(*[F.lit(x) for kv in params.items() for x in kv]))).first()[0] == expected
+
+
+def test_answers_in_blocks(spark):
+    rows = [(1, 0, "assistant", None, [("a",), ("",), ("b",)]), (1, 1, "assistant", " ", []), (2, 0, "user", "x", None)]
+    frame = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, blocks array<struct<text: string>>")
+    assert [tuple(r) for r in L.final_responses(frame).collect()] == [(1, "a\nb")]
+    with pytest.raises(Exception, match="no text response"):
+        L.final_responses(frame, required=True).collect()
+
+
+def test_batches(spark):
+    prompts = spark.createDataFrame([("x", f"r{i}", str(i)) for i in range(7)], "assay string, record string, prompt string")
+    got = {r["record"]: r["value"] for r in batches.run_batch(prompts, lambda p: '{"a": %s}' % p, 3).collect()}
+    assert got == {f"r{i}": f'{{"a": {i}}}' for i in range(7)}
+    checked = batches.last_answers(batches.run_batch(prompts, lambda p: '{"a": 1}' if p == "3" else "[]"), lambda d: T.validated(d, {"children": [{"name": "a", "type": "integer"}]}))
+    assert [r["record"] for r in checked.collect()] == ["r3"]
+
+
+def test_streamed_cache(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "2020-01-01 00:00:00"), ("a", "2020-01-01 00:10:00"), ("b", "2020-01-01 02:00:00")], "key string, at string").select("key", F.to_timestamp("at").alias("created_at"))
+    rows.write.parquet(str(tmp_path / "in"))
+    for name, made, n in (("fresh", cache.fresh_entries, 2), ("hits", cache.hit_counts, 2)):
+        stream = made(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+        query = stream.writeStream.format("memory").queryName(name).outputMode("append" if name == "fresh" else "update").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table(name).count() == n
+
+
+def test_command_line(spark, root, tmp_path, monkeypatch):
+    from accordant.__main__ import main
+
+    for what in ("report", "summary", "causes", "significance", "plot"):
+        main([what, root, "--csv", str(tmp_path / what)])
+        assert spark.read.option("header", True).csv(str(tmp_path / what)).count() > 0
+    main(["sample", root, "--sources", "x", "--counts", "2", "--seed", "1", "--output", str(tmp_path / "sampled")])
+    assert spark.read.json(str(tmp_path / "sampled")).where("role = 'gold'").count() == 2

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     made = duckdb.connect()
-    for t in "part orders events documents labels conversations".split():
+    for t in "region nation part orders events documents labels conversations".split():
         made.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return made
 
