@@ -1,10 +1,13 @@
 """PII spans: fixed patterns, and terms that give away a protected entity by what the corpus tells of them together.
 
 Protected entities are the values that the patterns find, however rare. A term stands near an entity if it is in the
-same line. From how many documents have the entity, the term and both, the share of the entity's information that the
-term discloses is PMI(term, entity) / IC(entity): 1 where the term is met with the entity alone. Counts are smoothed,
-so few lines tell less than many. Terms from THRESHOLD on become spans of kind `term` in all documents, wherever they
-stand; all spans are then generalised to their kind's name or removed. DataFrame operations only.
+same line within NEAR characters. From how many documents have the entity, the term and both, the share of the entity's
+information that the term discloses is PMI(term, entity) / IC(entity): 1 where the term is met with the entity alone.
+Counts are smoothed, so few contexts tell less than many. Terms from THRESHOLD on become spans of kind `term` in all
+documents, wherever they stand; all spans are then generalised to their kind's name or removed. DataFrame operations only.
+
+Terms are counted over the whole corpus once, and only those that can still disclose something: a term is in at least as
+many documents as among those with an entity, and where that many is already too often the pair is out.
 """
 
 from __future__ import annotations
@@ -25,15 +28,17 @@ PATTERNS = {
 #: A character that a text with a match of the kind has, looked for before the pattern is.
 NEEDED = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Share of an entity's information that a term may disclose; lines that the entity's share of all documents weighs as
-#: much as, when the share of the term's documents is estimated.
-THRESHOLD, PRIOR = 0.9, 0.5
+#: Share of an entity's information that a term may disclose; contexts that the entity's share of all documents weighs as
+#: much as, when the share of the term's documents is estimated; characters on either side that are an entity's context.
+THRESHOLD, PRIOR, NEAR = 0.9, 0.5, 150
 #: Strings that are sent to all tasks at most; beyond that the other side is shuffled to meet them.
 SENT_TERMS = 1_000_000
-#: Characters of a term: shorter words are met everywhere, longer ones are data.
-TERM_CHARS = (3, 40)
+#: Characters of a word, as the inside of a class: letters, and all beyond ASCII.
+LETTERS = r"A-Za-z\x{80}-\x{10FFFF}"
+#: Letters that a term has at the least.
+TERM_LETTERS = 3
 CHUNK = 256
-SPANS = "array<struct<kind: string, start: bigint, end: bigint, value: string>>"
+SPANS = "array<struct<kind: string, start: bigint, end: bigint, value: string, near: string>>"
 
 
 def luhn(digits: Column) -> Column:
@@ -55,8 +60,16 @@ def holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def context(before: Column, after: Column) -> Column:
+    """What of the same line stands next to a match, NEAR characters on either side; words that are cut there are left out."""
+    left, right = F.substring_index(before, "\n", -1), F.substring_index(after, "\n", 1)
+    left = F.when(F.length(left) > NEAR, F.regexp_replace(F.right(left, F.lit(NEAR)), r"^\S++", "")).otherwise(left)
+    right = F.when(F.length(right) > NEAR, F.regexp_replace(F.left(right, F.lit(NEAR)), r"\S++$", "")).otherwise(right)
+    return F.concat(left, F.lit(" "), right)
+
+
 def located(gaps: Column, matches: Column, kind: str) -> Column:
-    """Spans of `matches`, of which gaps[i] stands before matches[i]. Sums run in chunks, so many matches cost no square."""
+    """Spans of `matches`, of which gaps[i] stands before matches[i] and gaps[i + 1] behind. Sums run in chunks, so many matches cost no square."""
 
     def of(gaps: Column, matches: Column) -> Column:
         size = lambda i: (F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).cast("long")
@@ -71,7 +84,7 @@ def located(gaps: Column, matches: Column, kind: str) -> Column:
             def add(s: Column, i: Column) -> Column:
                 end = s["at"] + size(i)
                 match = F.get(matches, i)
-                span = F.struct(F.lit(kind).alias("kind"), (end - F.length(match)).alias("start"), end.alias("end"), match.alias("value"))
+                span = F.struct(F.lit(kind).alias("kind"), (end - F.length(match)).alias("start"), end.alias("end"), match.alias("value"), context(F.get(gaps, i), F.get(gaps, i + 1)).alias("near"))
                 return F.struct(end.alias("at"), F.when(holds(kind, match), F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
             return F.aggregate(chunk(c), first, add, lambda s: s["out"])
@@ -86,6 +99,11 @@ def located(gaps: Column, matches: Column, kind: str) -> Column:
     return F.transform(F.array(F.struct(gaps.alias("g"), matches.alias("m"))), lambda x: of(x["g"], x["m"]))[0]
 
 
+def text_key(text: Column) -> list[Column]:
+    """Two numbers that together stand for a text."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def with_base(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text, base): spans that the patterns find, by kind and start."""
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -109,68 +127,78 @@ def entity_of(span: Column) -> Column:
 
 
 def terms_of(text: Column) -> Column:
-    words = F.array_distinct(F.split(lower_ascii(text), r"[^\p{L}\p{M}]+"))
-    return F.filter(words, lambda w: F.length(w).between(*TERM_CHARS))
+    """The distinct words of a text, lower-cased; shorter ones than terms, empty ones too, may be among them."""
+    return F.array_distinct(F.split(lower_ascii(text), rf"[^{LETTERS}]+"))
 
 
-def disclosing(base: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, terms): the terms of each document that disclose one of its entities.
+def telling_share(n_lines: Column, n_both: Column, n_term: Column, share: Column) -> Column:
+    """Share of the term's documents that are taken to have the entity, which `share` of all documents have.
 
-    base: (doc_id, text, base) of documents with a span; docs: all documents. Counts are of documents by doc_id. Of the
-    documents with a term a share of n_both / n_term has the entity; it is known from `n_lines` different lines, since
-    copies of one text are no evidence, and smoothed by PRIOR lines of the entity's share of all documents. An entity of
-    all documents has no term that tells anything.
+    n_both / n_term is known from n_lines different contexts, since copies of one text are no evidence, and smoothed by
+    PRIOR contexts of `share`.
     """
-    line = F.explode(F.split("text", "\n"))
-    near = base.select("doc_id", F.transform("base", lambda s: F.named_struct(F.lit("entity"), entity_of(s), F.lit("value"), s["value"])).alias("spans"), line.alias("line"))
-    near = near.select("doc_id", "line", F.filter("spans", lambda s: F.contains(F.col("line"), s["value"])).alias("spans")).where(F.size("spans") > 0)
-    plain = F.aggregate("spans", F.col("line"), lambda x, s: F.replace(x, s["value"], F.lit(" ")))
-    near = scratch.keep(near.select("doc_id", F.xxhash64("line").alias("line"), F.array_distinct(F.transform("spans", lambda s: s["entity"])).alias("entities"), terms_of(plain).alias("terms")), "near")
-    if near.isEmpty():
-        return near.select("doc_id", "terms")
-    entities = near.select("doc_id", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    met = near.select("doc_id", "line", F.explode("entities").alias("entity"), "terms").select("doc_id", "line", "entity", F.explode("terms").alias("term"))
-    pairs = met.groupBy("entity", "term").agg(F.count_distinct("doc_id").alias("n_both"), F.count_distinct("line").alias("n_lines"))
-    pairs = scratch.keep(pairs.join(entities, "entity"), "pairs")
-    words = docs.select("doc_id", F.explode(terms_of(F.col("text"))).alias("term"))
+    return (n_lines * F.least(F.lit(1.0), n_both / n_term) + PRIOR * share) / (n_lines + PRIOR)
+
+
+def discloses(n_lines: Column, n_both: Column, n_term: Column, share: Column) -> Column:
+    """Whether PMI reaches THRESHOLD of the entity's information; an entity of all documents has none."""
+    return (share < 1) & (F.log2(telling_share(n_lines, n_both, n_term, share) / share) >= -THRESHOLD * F.log2(share))
+
+
+def disclosing(having: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(t1, t2, terms): by the key of a text its words that disclose some entity, for texts with such a word.
+
+    having: (row, text, base) of documents with a span, stored; docs: all documents. Counts are of rows.
+    """
+    spans = having.select("row", F.explode("base").alias("s")).select("row", entity_of(F.col("s")).alias("entity"), "s.near")
+    plain = F.regexp_replace("near", r"\S*[@0-9]\S*", " ")
+    near = spans.withColumn("terms", terms_of(plain)).groupBy("row", "entity").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+    # equal contexts are counted before their terms are taken apart
+    near = scratch.keep(near.groupBy("entity", "terms").agg(F.count("*").alias("n")), "near")
+    entities = near.groupBy("entity").agg(F.sum("n").alias("n_entity"))
+    pairs = near.select("entity", "n", F.explode("terms").alias("term")).where(F.length("term") >= TERM_LETTERS).groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("n_lines"))
     total = float(docs.count())
-    of_all = F.col("n_entity") / F.lit(total)
-    of_term = (F.col("n_lines") * F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) + PRIOR * of_all) / (F.col("n_lines") + PRIOR)
-    known = pairs.join(words.groupBy("term").agg(F.count("*").alias("n_term")), "term")
-    telling = known.where(of_all < 1).where(F.log2(of_term / of_all) >= -THRESHOLD * F.log2(of_all)).select("term", "n_term").distinct()
-    telling = scratch.keep(telling, "telling")
-    held = near.select("doc_id", F.explode("terms").alias("term")).distinct().join(telling, "term").select("doc_id", "term", "n_term")
-    held = scratch.keep(held, "held")
-    # terms that stand elsewhere too are looked for in all documents
-    wide = scratch.keep(held.groupBy("term").agg(F.count("*").alias("n"), F.first("n_term").alias("n_term")).where("n < n_term").select("term"), "wide")
-    elsewhere = words.where("doc_id is not null").join(sent_if_small(wide, SENT_TERMS), "term").select("doc_id", "term")
-    return held.select("doc_id", "term").unionAll(elsewhere).groupBy("doc_id").agg(F.collect_set("term").alias("terms"))
+    share = F.col("n_entity") / F.lit(max(total, 1.0))
+    test = lambda n: discloses(F.col("n_lines"), F.col("n_both"), n, share)
+    among = having.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_among"))
+    pairs = scratch.keep(pairs.join(entities, "entity").where(test(F.col("n_both"))).join(among, "term").where(test(F.col("n_among"))).drop("n_among"), "pairs")
+    candidates = scratch.keep(pairs.select("term").distinct(), "candidates")
+    words = docs.select(*text_key(F.col("text")), F.explode(terms_of(F.col("text"))).alias("term"))
+    met = scratch.keep(words.join(sent_if_small(candidates, SENT_TERMS), "term").select("t1", "t2", "term"), "met")
+    known = pairs.join(met.groupBy("term").agg(F.count("*").alias("n_term")), "term")
+    telling = scratch.keep(known.where(test(F.col("n_term"))).select("term").distinct(), "telling")
+    return met.join(sent_if_small(telling, SENT_TERMS), "term").groupBy("t1", "t2").agg(F.collect_set("term").alias("terms"))
 
 
 def term_spans(docs: DataFrame) -> DataFrame:
     """Of (doc_id, text, base, terms) all spans, those of terms outside base spans included: each word that is a term."""
-    word = r"[\p{L}\p{M}]++"
+    word = rf"[{LETTERS}]++"
     words = located(F.split("text", word), F.regexp_extract_all("text", F.lit(word), F.lit(0)), "term")
     apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
     found = F.filter(words, lambda w: F.array_contains("terms", lower_ascii(w["value"])) & apart(w))
-    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", found)).alias("spans")
+    spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", found))
+    plain = lambda spans: F.transform(spans, lambda s: s.dropFields("near"))
     kept = F.when((F.size("base") > 0) | F.col("terms").isNotNull(), F.col("text")).alias("text")
-    return docs.select("doc_id", kept, "base", spans)
+    return docs.select("doc_id", kept, plain(F.col("base")).alias("base"), plain(spans).alias("spans"))
 
 
 def all_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, text, base, spans) for each row of `docs`, stored; without text where there are neither spans nor terms."""
+    """(doc_id, text, base, spans) for each row of `docs`, stored; without text where there are neither spans nor terms.
+
+    Texts meet their terms by a hash of the text, so rows without an id and rows that share one are served alike.
+    """
     found = with_base(docs)
     having = scratch.keep(found.where(F.size("base") > 0), "having")
-    terms = scratch.keep(disclosing(having.where("doc_id is not null"), docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), scratch), "terms")
-    return scratch.keep(term_spans(found.join(sent_if_small(terms, SENT_TERMS, F.size("terms")), "doc_id", "left")), "spans")
+    terms = scratch.keep(disclosing(having, docs.select(F.coalesce("text", F.lit("")).alias("text")), scratch), "terms")
+    keyed = found.select("doc_id", "text", "base", *text_key(F.col("text")))
+    return scratch.keep(term_spans(keyed.join(sent_if_small(terms, SENT_TERMS, F.size("terms")), ["t1", "t2"], "left")), "spans")
 
 
 def pii_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, text, base, spans) for each row of `docs` with a span; spans begin with base ones and end with terms, each by start.
 
-    Null texts are empty. Rows with a null doc_id, and ids that repeat, get base spans like others; terms are counted by
-    rows and given to all rows of an id. An empty table gives an empty table.
+    Null texts are empty. Rows with a null doc_id and rows that share an id are judged each by their own text, and
+    counted each. Other columns of `docs` are not read. An empty table gives an empty table.
     """
     return all_spans(docs, Scratch(docs.sparkSession, "pii")).where(F.size("spans") > 0)
 
@@ -201,6 +229,7 @@ def joined(spans: Column) -> Column:
 
 
 def op3_pii(spark, sf_dir: str) -> DataFrame:
+    """pii_spans of `documents`, one row for each of its rows: counts and digest of base spans, all spans, and the sanitised text (null if there is no span)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = all_spans(docs, Scratch(spark, "pii"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

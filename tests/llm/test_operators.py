@@ -201,6 +201,62 @@ class TestPii:
         assert found[0] == [("email", "z@corp.com"), ("term", "Zorblatt")]
         assert found[400] == [("term", "quizzle")] and not any(10 <= i < 300 for i in found)
 
+    def expected_terms(self, rows):
+        """Spans of kind term by a plain count of all words and entities of all rows."""
+        word = re.compile(r"[A-Za-z\x80-\U0010FFFF]+")
+        near = defaultdict(set)
+        for k, (_, text) in enumerate(rows):
+            for kind, a, b in self.base(text):
+                value = text[a:b]
+                entity = low(value) if kind == "email" else value if kind == "ip" else re.sub(r"[ ().-]", "", value)
+                pattern = re.compile(dict(self.PATTERNS)[kind])
+                ends = [m.end() for m in pattern.finditer(text) if m.end() <= a] or [0]
+                starts = [m.start() for m in pattern.finditer(text) if m.start() >= b] or [len(text)]
+                left, right = text[ends[-1] : a].split("\n")[-1], text[b : starts[0]].split("\n")[0]
+                left = re.sub(r"^\S+", "", left[-pii.NEAR :]) if len(left) > pii.NEAR else left
+                right = re.sub(r"\S+$", "", right[: pii.NEAR]) if len(right) > pii.NEAR else right
+                near[k, entity] |= set(word.findall(low(re.sub(r"\S*[@0-9]\S*", " ", left + " " + right))))
+        n_term = Counter(w for _, text in rows for w in set(word.findall(low(text))))
+        n_entity = Counter(e for _, e in near)
+        n_both, lines = Counter(), defaultdict(set)
+        for (_, e), terms in near.items():
+            for t in terms:
+                n_both[e, t] += 1
+                lines[e, t].add(frozenset(terms))
+        telling = set()
+        for (e, t), n in n_both.items():
+            if not n_term[t]:
+                continue  # what is left of a word that an entity begins in
+            share, known = n_entity[e] / len(rows), len(lines[e, t])
+            of = (known * min(1, n / n_term[t]) + pii.PRIOR * share) / (known + pii.PRIOR)
+            if len(t) >= 3 and share < 1 and math.log2(of / share) >= -pii.THRESHOLD * math.log2(share):
+                telling.add(t)
+        out = []
+        for i, text in rows:
+            base = self.base(text)
+            spans = [("term", m.start(), m.end()) for m in word.finditer(text or "") if low(m[0]) in telling and not any(a < m.end() and m.start() < b for _, a, b in base)]
+            out.append((i if i is not None else -1, base + spans))
+        return sorted(out), telling
+
+    def test_query_against_counts(self, spark, tmp_path):
+        rng = np.random.default_rng(12)
+        rows = [(i, invented(rng, 40, 90).translate(str.maketrans("0123456789", "abcdefghij"))) for i in range(150)]
+        names = ["Ábel", "berta", "Ceci", "dora"]
+        for k in range(60):
+            i, text = rows[k]
+            w = text.split()
+            w[5 : 5 + k % 3] = [names[k % 4], f"{names[k % 4].lower()}@x{k % 4}.org", "+1 555 0100-99" + str(k % 2)][: 1 + k % 3]
+            rows[k] = (i, "\n".join([" ".join(w[:20]), " ".join(w[20:]) + (" 10.0.0.%d" % (k % 9))]) + (" long" * 60 if k % 7 == 0 else ""))
+        rows += [rows[3], rows[3], (3, "another text of id three BERTA berta@x1.org"), (None, rows[4][1]), (None, None), (900, ""), (901, "ceci alone")]
+        documents(spark, rows).withColumnsRenamed({"lang": "base", "line": "terms", "n_words": "t1", "component_id": "row"}).write.parquet(str(tmp_path / "documents.parquet"))
+        expected, telling = self.expected_terms(rows)
+        got = pii.op3_pii(spark, str(tmp_path)).collect()
+        show = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        digest = lambda spans: hashlib.sha256(show([s for s in spans if s[0] != "term"]).encode()).hexdigest()
+        count = lambda spans: tuple(sum(s[0] == k for s in spans) for k in ("email", "ip", "card", "phone"))
+        assert telling
+        assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["spans"], r["base_sha256"], tuple(r[f"n_{k}"] for k in ("email", "ip", "card", "phone"))) for r in got) == sorted((i, show(x), digest(x), count(x)) for i, x in expected)
+
     def test_terms_on_the_test_tables(self, spark):
         found = pii.op3_pii(spark, "/root/testdata/sf0.001").collect()
         assert len(found) == 200 and any("term:" in r["spans"] and r["base_sha256"] != hashlib.sha256(b"").hexdigest() for r in found)
