@@ -247,7 +247,7 @@ class TestPii:
             w = text.split()
             w[5 : 5 + k % 3] = [names[k % 4], f"{names[k % 4].lower()}@x{k % 4}.org", "+1 555 0100-99" + str(k % 2)][: 1 + k % 3]
             rows[k] = (i, "\n".join([" ".join(w[:20]), " ".join(w[20:]) + (" 10.0.0.%d" % (k % 9))]) + (" long" * 60 if k % 7 == 0 else ""))
-        rows += [rows[3], rows[3], (3, "another text of id three BERTA berta@x1.org"), (None, rows[4][1]), (None, None), (900, ""), (901, "ceci alone")]
+        rows += [rows[3], rows[3], (3, "another text of id three BERTA berta@x1.org"), (None, rows[4][1]), (None, None), (900, ""), (901, "ceci alone"), (902, "write Quxley at q9@zz.org today"), (903, "no QUXLEYS, one quxley"), (904, "mail Vandor q8@zz.org\nVandor"), (905, "mail vandor q8@zz.org")]
         documents(spark, rows).withColumnsRenamed({"lang": "base", "line": "terms", "n_words": "t1", "component_id": "row"}).write.parquet(str(tmp_path / "documents.parquet"))
         expected, telling = self.expected_terms(rows)
         got = pii.op3_pii(spark, str(tmp_path)).collect()
@@ -355,20 +355,26 @@ class TestUrls:
 
 class TestLines:
     @staticmethod
-    def near(a, b):
-        if a == b or abs(len(a) - len(b)) > 1:
-            return False
-        a, b = sorted((a, b), key=len)
-        k = next((i for i in range(len(a)) if a[i] != b[i]), len(a))
-        return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
-
-    def brute(self, docs):
-        where = defaultdict(list)
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def near(self, a, b, edits):
+        k = max((k for n, k in edits if min(len(a), len(b)) >= n), default=0)
+        return a != b and abs(len(a) - len(b)) <= k and self.distance(a, b) <= k
+
+    def brute(self, docs, edits):
+        """By (doc_id, text): links and removed lines."""
+        where = defaultdict(set)
         for i, text in docs:
             for k, line in enumerate((text or "").split("\n")):
                 line = line.strip(" \t\n\v\f\r")
-                if len(line) >= 20 and i is not None:
-                    where[line].append((i, k))
+                if i is not None and (len(line) >= edits[0][0] or re.search(r"\w", line)):
+                    where[line].add((i, text or "", k))
         root = {x: x for x in where}
 
         def find(x):
@@ -378,27 +384,33 @@ class TestLines:
 
         links = Counter()
         for a, b in itertools.combinations(where, 2):
-            if self.near(a, b):
+            if self.near(a, b, edits):
                 links[a] += 1
                 links[b] += 1
                 root[find(a)] = find(b)
+        order = lambda at: (at[0], xxhash.xxh64_intdigest(at[1].encode(), 42) % linededup.TEXTS, at[2])
         heads = {}
         for x in where:
-            heads[find(x)] = min([*where[x], heads.get(find(x), (math.inf,))])
+            heads[find(x)] = min([*where[x], *([heads[find(x)]] if find(x) in heads else [])], key=order)
         out = {}
         for x in where:
-            for i, k in set(where[x]):
-                n, removed = out.setdefault(i, [0, []])
-                out[i][0] += links[x]
-                if (i, k) != heads[find(x)]:
-                    removed.append((k, *heads[find(x)]))
-        return {i: (n, sorted(r)) for i, (n, r) in out.items()}
-
-    @pytest.mark.parametrize("bucket", [200, 3])
-    def test_against_all_pairs(self, spark, monkeypatch, bucket):
+            for at in where[x]:
+                found = out.setdefault(at[:2], [0, []])
+                found[0] += links[x]
+                if at != heads[find(x)]:
+                    found[1].append((at[2], heads[find(x)][0], heads[find(x)][2]))
+        return {i: (n, sorted(r)) for i, (n, r) in out.items() if n or r}
+
+    def found(self, spark, docs, edits):
+        by = {(i, xxhash.xxh64_intdigest((x or "").encode(), 42)): x or "" for i, x in docs}
+        rows = linededup.repeated_lines(documents(spark, docs), True, edits).collect()
+        return {(r["doc_id"], by[r["doc_id"], r["t1"] % 2**64]): (r["n_links"], [tuple(x) for x in r["removed"]]) for r in rows if r["n_links"] or r["removed"]}
+
+    @pytest.mark.parametrize(("edits", "bucket"), [(((20, 1),), 200), (((20, 1),), 3), (((20, 2),), 200), (((20, 2),), 3), (((20, 1), (32, 2)), 3), (((20, 1), (31, 2), (34, 3)), 200)])
+    def test_against_all_pairs(self, spark, monkeypatch, edits, bucket):
         monkeypatch.setattr(linededup, "BUCKET", bucket)
         rng = np.random.default_rng(6)
-        base = [f"the quick brown fox jumps over it {i}" for i in range(5)]
+        base = [f"the quick brown fox jumps {'over ' * (i % 2)}it {i}" for i in range(5)]
 
         def change(x):
             k, c = int(rng.integers(len(x))), rng.choice(list("abcé😀"))
@@ -413,9 +425,30 @@ class TestLines:
                     x = change(x)
                 lines.append(x)
             docs.append((i, "\n".join(lines)))
-        docs += [(100, None), (101, ""), (102, "short\nshort"), (103, docs[3][1]), (103, docs[3][1]), (None, docs[4][1])]
-        got = {r["doc_id"]: (r["n_links"], [tuple(x) for x in r["removed"]]) for r in linededup.repeated_lines(documents(spark, docs)).collect()}
-        assert {i: x for i, x in got.items() if x != (0, [])} == {i: x for i, x in self.brute(docs).items() if x != (0, [])}
+        docs += [(100, None), (101, ""), (102, "short\nshort\n--\n--"), (103, docs[3][1]), (103, docs[3][1]), (None, docs[4][1]), (104, "an entirely different line of one id\n" + base[0]), (104, base[0] + "\nand a line that is there once")]
+        assert self.found(spark, docs, edits) == self.brute(docs, edits)
+
+    def test_shifts_cover_all_edits(self):
+        """Whatever k edits do, some segment of the shorter string stands at a probed place of the longer one."""
+        rng = np.random.default_rng(13)
+        for _ in range(3000):
+            k, n = int(rng.integers(1, 4)), int(rng.integers(12, 30))
+            a = "".join(rng.choice(list("ab"), n))
+            b = a
+            for _ in range(k):
+                at = int(rng.integers(len(b)))
+                b = [b[:at] + "c" + b[at + 1 :], b[:at] + "c" + b[at:], b[:at] + b[at + 1 :]][rng.integers(3)]
+            s, r = sorted((a, b), key=len)
+            cuts = [len(s) * i // (k + 1) for i in range(k + 2)]
+            places = [(i, x) for i in range(k + 1) for x in linededup.probed_shifts(k, i, len(r) - len(s))]
+            assert any(s[cuts[i] : cuts[i + 1]] == r[cuts[i] + x : cuts[i + 1] + x] and cuts[i] + x >= 0 for i, x in places)
+
+    def test_texts_under_one_id_keep_their_lines(self, spark):
+        rows = [(2, "some other first line kept here\nsecond"), (2, "the same long line that repeats\nthird"), (3, "the same long line that repeats\nmore")]
+        docs = documents(spark, rows).withColumnsRenamed({"lang": "gone", "line": "t1", "n_words": "removed", "component_id": "row"})
+        out = linededup.without_repeats(docs)
+        assert out.columns == docs.columns
+        assert sorted(r["text"] for r in out.collect()) == ["more", "some other first line kept here\nsecond", "the same long line that repeats\nthird"]
 
     def test_texts_lose_repeats(self, spark):
         line = "a line that is long enough"
