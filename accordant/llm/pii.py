@@ -12,6 +12,8 @@ many documents as among those with an entity, and where that many is already too
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,8 +70,11 @@ def context(before: Column, after: Column) -> Column:
     return F.concat(left, F.lit(" "), right)
 
 
-def located(gaps: Column, matches: Column, kind: str) -> Column:
-    """Spans of `matches`, of which gaps[i] stands before matches[i] and gaps[i + 1] behind. Sums run in chunks, so many matches cost no square."""
+def located(gaps: Column, matches: Column, kind: str, keep: Callable[[Column], Column], near: Callable[[Column, Column], Column]) -> Column:
+    """Spans of those of `matches` that `keep` lets pass, of which gaps[i] stands before matches[i] and gaps[i + 1] behind.
+
+    Sums run in chunks, so many matches cost no square.
+    """
 
     def of(gaps: Column, matches: Column) -> Column:
         size = lambda i: (F.length(F.get(gaps, i)) + F.length(F.get(matches, i))).cast("long")
@@ -84,8 +89,8 @@ def located(gaps: Column, matches: Column, kind: str) -> Column:
             def add(s: Column, i: Column) -> Column:
                 end = s["at"] + size(i)
                 match = F.get(matches, i)
-                span = F.struct(F.lit(kind).alias("kind"), (end - F.length(match)).alias("start"), end.alias("end"), match.alias("value"), context(F.get(gaps, i), F.get(gaps, i + 1)).alias("near"))
-                return F.struct(end.alias("at"), F.when(holds(kind, match), F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
+                span = F.struct(F.lit(kind).alias("kind"), (end - F.length(match)).alias("start"), end.alias("end"), match.alias("value"), near(F.get(gaps, i), F.get(gaps, i + 1)).alias("near"))
+                return F.struct(end.alias("at"), F.when(keep(match), F.concat(s["out"], F.array(span))).otherwise(s["out"]).alias("out"))
 
             return F.aggregate(chunk(c), first, add, lambda s: s["out"])
 
@@ -114,7 +119,7 @@ def with_base(docs: DataFrame) -> DataFrame:
     def found(kind: str) -> Column:
         matches = F.col(f"m_{kind}")
         any_holds = F.exists(matches, lambda m: holds(kind, m))
-        return F.when(any_holds, located(F.split("text", PATTERNS[kind]), matches, kind)).otherwise(F.array().cast(SPANS))
+        return F.when(any_holds, located(F.split("text", PATTERNS[kind]), matches, kind, lambda m: holds(kind, m), context)).otherwise(F.array().cast(SPANS))
 
     # the row number keeps a filter on `base` above this step; pushed below, it would run each pattern again
     return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.concat(*map(found, PATTERNS)).alias("base"))
@@ -128,7 +133,7 @@ def entity_of(span: Column) -> Column:
 
 def terms_of(text: Column) -> Column:
     """The distinct words of a text, lower-cased; shorter ones than terms, empty ones too, may be among them."""
-    return F.array_distinct(F.split(lower_ascii(text), rf"[^{LETTERS}]+"))
+    return F.array_distinct(F.split(F.lower(text), rf"[^{LETTERS}]+"))
 
 
 def telling_share(n_lines: Column, n_both: Column, n_term: Column, share: Column) -> Column:
@@ -173,9 +178,9 @@ def disclosing(having: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
 def term_spans(docs: DataFrame) -> DataFrame:
     """Of (doc_id, text, base, terms) all spans, those of terms outside base spans included: each word that is a term."""
     word = rf"[{LETTERS}]++"
-    words = located(F.split("text", word), F.regexp_extract_all("text", F.lit(word), F.lit(0)), "term")
-    apart = lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    found = F.filter(words, lambda w: F.array_contains("terms", lower_ascii(w["value"])) & apart(w))
+    is_term = lambda w: F.array_contains("terms", F.lower(w))
+    words = located(F.split("text", word), F.regexp_extract_all("text", F.lit(word), F.lit(0)), "term", is_term, lambda before, after: F.lit(None).cast("string"))
+    found = F.filter(words, lambda w: ~F.exists("base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", found))
     plain = lambda spans: F.transform(spans, lambda s: s.dropFields("near"))
     kept = F.when((F.size("base") > 0) | F.col("terms").isNotNull(), F.col("text")).alias("text")

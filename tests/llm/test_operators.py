@@ -215,8 +215,8 @@ class TestPii:
                 left, right = text[ends[-1] : a].split("\n")[-1], text[b : starts[0]].split("\n")[0]
                 left = re.sub(r"^\S+", "", left[-pii.NEAR :]) if len(left) > pii.NEAR else left
                 right = re.sub(r"\S+$", "", right[: pii.NEAR]) if len(right) > pii.NEAR else right
-                near[k, entity] |= set(word.findall(low(re.sub(r"\S*[@0-9]\S*", " ", left + " " + right))))
-        n_term = Counter(w for _, text in rows for w in set(word.findall(low(text))))
+                near[k, entity] |= set(word.findall(re.sub(r"\S*[@0-9]\S*", " ", left + " " + right).lower()))
+        n_term = Counter(w for _, text in rows for w in set(word.findall((text or "").lower())))
         n_entity = Counter(e for _, e in near)
         n_both, lines = Counter(), defaultdict(set)
         for (_, e), terms in near.items():
@@ -234,7 +234,7 @@ class TestPii:
         out = []
         for i, text in rows:
             base = self.base(text)
-            spans = [("term", m.start(), m.end()) for m in word.finditer(text or "") if low(m[0]) in telling and not any(a < m.end() and m.start() < b for _, a, b in base)]
+            spans = [("term", m.start(), m.end()) for m in word.finditer(text or "") if m[0].lower() in telling and not any(a < m.end() and m.start() < b for _, a, b in base)]
             out.append((i if i is not None else -1, base + spans))
         return sorted(out), telling
 
