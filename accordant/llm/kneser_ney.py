@@ -1,10 +1,11 @@
-"""Interpolated modified Kneser-Ney language model of order 2, counted in Spark and memory-mapped by workers.
+"""Interpolated modified Kneser-Ney language model of any order, counted in Spark and memory-mapped by workers.
 
-Counting: tasks reduce their texts to sorted arrays of distinct word pairs with counts, cut by ranges of the pair's
-64-bit hash, so each range is of even size however frequent a word is. What one range gathers becomes one pair file;
-what it tells of single words (raw count, distinct left neighbours, count and distinct right neighbours by count) is
-additive and gathered by ranges of the word's hash into word files. Files are sorted hash arrays beside value arrays
-in the shared folder; they grow with the corpus and never pass the driver, which gets a few sums for each file.
+Texts are padded with order - 1 begin marks and an end mark. Counting: tasks reduce their texts to sorted arrays of distinct
+n-grams with counts, cut by ranges of the hash of the n-gram's context, so each range is of even size however frequent a
+word is. What one range gathers becomes one file of the highest level; what it tells of shorter n-grams is additive and
+gathered in the same way, level by level: how many different words stand before an n-gram, which is its count there, and
+how many words follow it, by count. Files are sorted hash arrays beside value arrays in the shared folder; they grow with
+the corpus and never pass the driver, which gets a few sums and the name for each file.
 
 Scoring: workers map the files, look up each batch's distinct hashes by binary search and sum log10 probabilities.
 """
@@ -29,24 +30,25 @@ from accordant.llm.shared import Scratch, crc32_of, map_arrow
 
 #: No text has a word with white space, so these two can't be words.
 BEGIN, END = b"\n<", b"\n>"
-#: Characters of text for each range of hashes; of tokens that a worker handles at once; of distinct pairs a task holds.
-RANGE_CHARS, BLOCK_TOKENS, HELD_PAIRS = 24_000_000, 400_000, 3_000_000
-#: Counts of 255 and more stand in two columns of their own: the entry's number and the count.
-PAIR_FIELDS = (("hash", "<u8"), ("small", "u1"), ("at", "<u8"), ("count", "<u8"))
-WORD_FIELDS = (("hash", "<u8"), ("raw", "<u8"), ("left", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8"), ("follow", "<u8"))
+#: Characters of text for each range of hashes; of tokens that a worker handles at once; of distinct n-grams a task holds.
+RANGE_CHARS, BLOCK_TOKENS, HELD_PAIRS = 12_000_000, 400_000, 2_000_000
+#: Words of context beside the predicted one, in the query.
+ORDER = 3
+#: Value columns of files below the highest level: the n-gram's count, and how many words follow it once, twice, more
+#: often, and how often any does. Level 1 has the words' raw counts before them.
+VALUES = ("count", "n1", "n2", "n3", "follow")
+#: Values of this and more stand in columns of their own: the entry's number and the value.
+LARGE = 255
 PACKED = "kind string, part int, blob binary"
 
 
 class WordHashes(dict):
-    """Hashes of words, in the upper 48 bits of 64, remembered up to a number of words.
-
-    48 bits tell a thousand million words apart but for some two thousand pairs, and a quarter less is sent.
-    """
+    """64-bit hashes of words, remembered up to a number of words."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word) & 0xFFFFFFFFFFFF0000
+        found = self[word] = xxhash.xxh64_intdigest(word)
         return found
 
 
@@ -57,17 +59,38 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(32)
 
 
+def gram_hash(words: list[np.ndarray]) -> np.ndarray:
+    """Of n-grams by their words, one array for each place; a single word's is its own."""
+    out = words[0]
+    for w in words[1:]:
+        out = pair_hash(out, w)
+    return out
+
+
+def cut_by(level: int) -> int:
+    """How many first words of n-grams ranges are cut by: the context, but whole n-grams where that is a single word, which may be in most texts."""
+    return level if level <= 2 else level - 1
+
+
 def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
     """Which of `parts` even ranges of 64-bit numbers each is in."""
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def tokens(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Hashes of begin, the words, end."""
-    words = [BEGIN, *(text or b"").lower().split(), END]
+def tokens(text: bytes | None, hashes: WordHashes, order: int = 2) -> np.ndarray:
+    """Hashes of order - 1 begin marks, the words, end."""
+    words = [*[BEGIN] * (order - 1), *(text or b"").lower().split(), END]
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
 
 
+def grams_of(row: np.ndarray, order: int, end: int) -> list[np.ndarray]:
+    """The n-grams of texts laid end to end, by place: those that end in a word or end mark, none over two texts."""
+    last = np.arange(order - 1, len(row))
+    for back in range(1, order):
+        last = last[row[last - back] != end]
+    return [row[last - back] for back in range(order - 1, -1, -1)]
+
+
 def _squeezed(column: np.ndarray, ordered: bool = False) -> bytes:
     """Numbers byte by byte, so equal bytes lie together; of ordered ones the differences."""
     body = np.diff(column, prepend=column.dtype.type(0)) if ordered else column
@@ -91,18 +114,6 @@ def unpacked(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def packed_pairs(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> bytes:
-    """Pairs in order of the left word; the size of a pair hardly depends on how many there are."""
-    order = np.argsort(left, kind="stable")
-    return packed([left[order], right[order], n[order].astype("<u4")])
-
-
-def unpacked_pairs(blob: bytes) -> list[np.ndarray]:
-    """Hash, left, right, count."""
-    left, right, n = unpacked(blob)
-    return [pair_hash(left, right), left, right, n.astype(np.uint64)]
-
-
 def summed(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys in order, the first place of each in the sorted input, and sums of the values."""
     order = np.argsort(keys, kind="stable")
@@ -111,19 +122,28 @@ def summed(keys: np.ndarray, values: list[np.ndarray]) -> tuple[np.ndarray, np.n
     return keys[starts], order[starts], [np.add.reduceat(v[order], starts) if len(keys) else v[:0] for v in values]
 
 
-def _rows(kind: str, parts: int, keys: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A packed row for each range that has keys; keys are in order, and are made again from a pair's words."""
-    edges = np.searchsorted(part_of(keys, parts), np.arange(parts + 1))
-    blob = (lambda a, b: packed_pairs(*[c[a:b] for c in columns])) if kind == "pair" else (lambda a, b: packed([c[a:b] for c in (keys, *columns)]))
-    found = [(p, blob(a, b)) for p, a, b in zip(range(parts), edges, edges[1:]) if a < b]
-    return _table([kind] * len(found), [p for p, _ in found], [b for _, b in found])
+def _rows(kind: str, parts: int, words: list[np.ndarray], values: list[np.ndarray], by: int) -> Iterator[pa.RecordBatch]:
+    """A packed row for each range that the hashes of the first `by` words are in; rows are in order of the first word, so its differences are small."""
+    part = part_of(gram_hash(words[:by]), parts)
+    order = np.lexsort((words[0], part))
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for p, a, b in zip(range(parts), edges, edges[1:]):
+        if a < b:
+            at = order[a:b]
+            yield _table([kind], [p], [packed([*(w[at] for w in words), *(v[at].astype(np.min_scalar_type(int(v.max()))) for v in values)])])
 
 
 def _table(kinds: list[str], parts: list[int], blobs: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["kind", "part", "blob"])
 
 
-def _counted(parts: int):
+def _merged(words: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Hashes of the distinct n-grams in order, their words, and sums of values."""
+    keys, at, sums = summed(gram_hash(words), values)
+    return keys, [w[at] for w in words], sums
+
+
+def _counted(parts: int, order: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         held: list[list[np.ndarray]] = []
@@ -131,21 +151,19 @@ def _counted(parts: int):
         size = 0
 
         def reduced() -> list[np.ndarray]:
-            keys, left, right, n = (np.concatenate(c) for c in zip(*held))
-            keys, at, (n,) = summed(keys, [n])
-            return [keys, left[at], right[at], n]
+            columns = [np.concatenate(c) for c in zip(*held)]
+            _, words, sums = _merged(columns[:-1], columns[-1:])
+            return [*words, *sums]
 
         def gather() -> None:
-            row = np.concatenate(texts)
-            inside = np.flatnonzero(row[:-1] != hashes[END])  # no pair from one text to the next
-            left, right = row[inside], row[inside + 1]
-            keys, at, (n,) = summed(pair_hash(left, right), [np.ones(len(left), np.uint64)])
-            held.append([keys, left[at], right[at], n])
+            grams = grams_of(np.concatenate(texts), order, hashes[END])
+            _, words, sums = _merged(grams, [np.ones(len(grams[0]), np.uint64)])
+            held.append([*words, *sums])
             texts.clear()
 
         for batch in batches:
             for text in batch.column(0):
-                texts.append(tokens(text.as_py(), hashes))
+                texts.append(tokens(text.as_py(), hashes, order))
                 size += len(texts[-1])
                 if size >= BLOCK_TOKENS:
                     gather()
@@ -153,30 +171,30 @@ def _counted(parts: int):
                     if sum(len(h[0]) for h in held) >= HELD_PAIRS:
                         held[:] = [reduced()]
                         if len(held[0][0]) >= HELD_PAIRS // 2:
-                            yield _rows("pair", parts, held[0][0], held[0][1:])
+                            yield from _rows(f"level {order}", parts, held[0][:-1], held[0][-1:], cut_by(order))
                             held.clear()
         if texts:
             gather()
         if held:
             whole = reduced()
-            yield _rows("pair", parts, whole[0], whole[1:])
+            yield from _rows(f"level {order}", parts, whole[:-1], whole[-1:], cut_by(order))
 
     return count
 
 
-def _groups(batches: Iterator[pa.RecordBatch], unpack) -> Iterator[tuple[int | str, list[list[np.ndarray]] | bytes]]:
-    """Unpacked rows of each part; rows come in order of part. Rows of sums come out as they are, with their kind for a part."""
+def _groups(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[tuple[int | pa.RecordBatch, list[tuple[str, list[np.ndarray]]]]]:
+    """Unpacked rows of each part with their kind; rows come in order of part. Rows for lower levels come out as they are, in place of the part."""
     part, held = None, []
     for batch in batches:
         for kind, p, blob in zip(*(c.to_pylist() for c in batch.columns)):
-            if kind.startswith("sums"):
-                yield kind, blob
+            if kind.startswith("sums") or kind == "raw" and level > 1:
+                yield _table([kind], [p], [blob]), []
                 continue
             if p != part and held:
                 yield part, held
                 held = []
             part = p
-            held.append(unpack(blob))
+            held.append((kind, unpacked(blob)))
     if held:
         yield part, held
 
@@ -185,22 +203,26 @@ def _place(uri: str) -> tuple[pfs.FileSystem, str]:
     return pfs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pfs.LocalFileSystem(), uri)
 
 
-def write_arrays(uri: str, columns: list[np.ndarray]) -> None:
-    """One file: the number of entries of each column, then the columns. It appears whole, whichever attempt writes it."""
+def write_arrays(uri: str, columns: list[np.ndarray]) -> str:
+    """One file: a line with how many columns, then the entries and width of each, then the columns; its name, which each attempt has for itself."""
     fs, path = _place(uri)
-    own = f"{path}.{uuid.uuid4().hex}"
+    own = f"{path}-{uuid.uuid4().hex}"
     with fs.open_output_stream(own) as out:
-        out.write(np.array([len(c) for c in columns], "<i8").tobytes())
+        out.write(np.array([len(columns), *(x for c in columns for x in (len(c), c.itemsize))], "<i8").tobytes())
         for column in columns:
             out.write(column.tobytes())
-    fs.move(own, path)
+    return os.path.basename(own)
+
 
+def with_large(values: np.ndarray) -> list[np.ndarray]:
+    """Values in a byte each, and the places and values of those that don't fit."""
+    large = np.flatnonzero(values >= LARGE)
+    return [np.minimum(values, LARGE).astype(np.uint8), large.astype("<u8"), values[large].astype("<u8")]
 
-def map_arrays(uri: str, fields: tuple) -> dict[str, np.ndarray] | None:
-    """The columns, memory-mapped; a file in a remote store is copied first and unlinked once mapped. None: no file."""
+
+def map_arrays(uri: str) -> list[np.ndarray]:
+    """The columns, memory-mapped; a file in a remote store is copied first and unlinked once mapped."""
     fs, path = _place(uri)
-    if fs.get_file_info(path).type == pfs.FileType.NotFound:
-        return None
     local = None
     if not isinstance(fs, pfs.LocalFileSystem):
         handle, local = tempfile.mkstemp()
@@ -209,11 +231,11 @@ def map_arrays(uri: str, fields: tuple) -> dict[str, np.ndarray] | None:
     whole = np.memmap(local or path, np.uint8, "r")
     if local:
         os.unlink(local)
-    at, out = 8 * len(fields), {}
-    for (name, kind), n in zip(fields, whole[:at].view("<i8").tolist()):
-        size = n * np.dtype(kind).itemsize
-        out[name] = whole[at : at + size].view(kind)
-        at += size
+    count = int(whole[:8].view("<i8")[0])
+    at, out = 8 + 16 * count, []
+    for n, width in whole[8:at].view("<i8").reshape(-1, 2).tolist():
+        out.append(whole[at : at + n * width].view(f"<u{width}"))
+        at += n * width
     return out
 
 
@@ -222,39 +244,50 @@ def classes(counts: np.ndarray, up_to: int) -> list[np.ndarray]:
     return [(counts == k).astype(np.uint64) for k in range(1, up_to)] + [(counts >= up_to).astype(np.uint64)]
 
 
-def _pair_files(folder: str, parts: int):
-    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, held in _groups(batches, unpacked_pairs):
-            keys, left, right, n = (np.concatenate(c) for c in zip(*held))
-            del held[:]
-            keys, at, (n,) = summed(keys, [n])
-            left, right = left[at], right[at]
-            large = np.flatnonzero(n >= 255)
-            write_arrays(f"{folder}/pairs-{part}", [keys, np.minimum(n, 255).astype(np.uint8), large.astype("<u8"), n[large]])
-            zero, one = np.zeros(len(n), np.uint64), np.ones(len(n), np.uint64)
-            # raw, left, n1, n2, n3, follow: of the right word, then of the left one
-            values = [np.concatenate(c) for c in zip((n, one, zero, zero, zero, zero), (zero, zero, *classes(n, 3), n))]
-            words, _, sums = summed(np.concatenate((right, left)), values)
-            yield _rows("word", parts, words, sums)
-            tally = [int((n == k).sum()) for k in range(1, 5)] + [len(n)]
-            yield _table(["sums of pairs"], [part], [np.array(tally, "<i8").tobytes()])
-
-    return reduce
+def _files(folder: str, parts: int, level: int, order: int):
+    """Writes the files of a level from its packed rows, and gives packed rows for the level below and sums of this one."""
+
+    def gathered(held: list[tuple[str, list[np.ndarray]]]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Rows tell of raw counts (raw), of what stands before (left) or of what follows (right); values in the order of VALUES."""
+        words: list[list[np.ndarray]] = [[] for _ in range(level)]
+        values: list[list[np.ndarray]] = [[] for _ in range(1 if level == order > 1 else 1 + len(VALUES) if level == 1 else len(VALUES))]
+        while held:
+            kind, columns = held.pop()
+            for place, w in zip(words, columns):
+                place.append(w)
+            found = [c.astype(np.uint64) for c in columns[level:]]
+            zero = np.zeros(len(columns[0]), np.uint64)
+            if level == order > 1:
+                full = found
+            else:
+                full = {"raw": [], "left": found, "right": [zero, *found]}[kind]
+                full = full + [zero] * (len(VALUES) - len(full))
+                if level == 1:
+                    full = [found[0] if kind == "raw" else zero, *full]
+            for place, v in zip(values, full):
+                place.append(v)
+        return _merged([np.concatenate(w) for w in words], [np.concatenate(v) for v in values])
 
-
-def _word_files(folder: str):
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, held in _groups(batches, unpacked):
-            if isinstance(part, str):
-                yield _table([part], [0], [held])
+        for part, held in _groups(batches, level):
+            if isinstance(part, pa.RecordBatch):
+                yield part
                 continue
-            columns = [np.concatenate(c) for c in zip(*held)]
-            del held[:]
-            words, _, sums = summed(columns[0], columns[1:])
-            write_arrays(f"{folder}/words-{part}", [words, *sums])
-            raw, left = sums[0], sums[1]
-            tally = [int((left == k).sum()) for k in range(1, 5)] + [int((left >= 3).sum()), int(left.sum()), int(raw.sum()), int((raw > 0).sum())]
-            yield _table(["sums of words"], [part], [np.array(tally, "<i8").tobytes()])
+            keys, words, sums = gathered(held)
+            count = sums[1] if level == 1 else sums[0]
+            name = write_arrays(f"{folder}/level{level}-{part}", [keys, *(x for v in sums for x in with_large(v))])
+            tally = [*(int((count == k).sum()) for k in range(1, 5)), int((count >= 3).sum()), int(count.sum()), len(count)]
+            if level == 1:
+                tally += [int(sums[0].sum()), int((sums[0] > 0).sum())]
+            else:
+                one = (count > 0).astype(np.uint64)  # contexts of begin marks alone are no n-grams
+                for kind, own, values in (("left", words[1:], [one]), ("right", words[:-1], [*classes(count, 3), count])):
+                    _, own, values = _merged(own, values)
+                    yield from _rows(kind, parts, own, values, cut_by(level - 1))
+                if level == order:
+                    _, own, values = _merged(words[-1:], [count])
+                    yield from _rows("raw", parts, own, values, 1)
+            yield _table([f"sums of {level}, {name}"], [part], [np.array(tally, "<i8").tobytes()])
 
     return reduce
 
@@ -271,36 +304,42 @@ def discounts(n: list[int]) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
+    """discounts, by level from 1 on; files by level and part; word_classes: how many words stand behind one, two, more different words; pairs: their sum."""
+
     folder: str
     parts: int
-    pair_discounts: list[float]
-    word_discounts: list[float]
+    order: int
+    discounts: list[list[float]]
+    files: dict[tuple[int, int], str]
     word_classes: list[int]
     pairs: int
     tokens: int
     words: int
 
 
-def train(docs: DataFrame, scratch: Scratch) -> Model:
-    """The model of all rows of `docs` (text)."""
+def train(docs: DataFrame, scratch: Scratch, order: int = ORDER) -> Model:
+    """The model of all rows of `docs` (text); of order 2 or more."""
     texts = docs.select(F.col("text").cast("binary").alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(4, -(-size // RANGE_CHARS))
     folder = f"{scratch.folder}/model"
     fs, path = _place(folder)
     fs.create_dir(path, recursive=True)
-
-    def ranges(rows: DataFrame) -> DataFrame:
+    rows = map_arrow(texts, _counted(parts, order), PACKED)
+    for level in range(order, 0, -1):
         # what one range gathers is bounded by its width; sorting keeps its rows together
-        return rows.repartition(parts, "part").sortWithinPartitions("part", "kind")
-
-    counted = map_arrow(texts, _counted(parts), PACKED)
-    words = map_arrow(ranges(map_arrow(ranges(counted), _pair_files(folder, parts), PACKED)), _word_files(folder), PACKED)
-    told = words.collect()  # a few sums for each range
-    n_pairs, n_words = ([np.frombuffer(r["blob"], "<i8") for r in told if r["kind"] == f"sums of {x}"] for x in ("pairs", "words"))
-    pair = np.sum(n_pairs, axis=0).tolist() if n_pairs else [0] * 5
-    word = np.sum(n_words, axis=0).tolist() if n_words else [0] * 8
-    return Model(folder, parts, discounts(pair[:4]), discounts(word[:4]), [word[0], word[1], word[4]], word[5], word[6], word[7])
+        rows = map_arrow(rows.repartition(parts, "part").sortWithinPartitions("part", "kind"), _files(folder, parts, level, order), PACKED)
+    told = rows.collect()  # a few sums and a name for each file
+    sums = np.zeros((order + 1, 9), np.int64)
+    files = {}
+    for r in told:
+        level, name = r["kind"].removeprefix("sums of ").split(", ")
+        tally = np.frombuffer(r["blob"], "<i8")
+        sums[int(level), : len(tally)] += tally
+        files[int(level), r["part"]] = name
+    found = sums.tolist()
+    word = found[1]
+    return Model(folder, parts, order, [[], *(discounts(found[m][:4]) for m in range(1, order + 1))], files, [word[0], word[1], word[4]], word[5], word[7], word[8])
 
 
 class Mapped:
@@ -308,49 +347,57 @@ class Mapped:
 
     def __init__(self, model: Model):
         self.model = model
-        self.files: dict[tuple[str, int], dict[str, np.ndarray] | None] = {}
-
-    def look_up(self, kind: str, fields: tuple, hashes: np.ndarray) -> dict[str, np.ndarray]:
-        """Values for hashes in order; 0 where a hash is unknown."""
-        names = ["count"] if kind == "pairs" else [name for name, _ in fields[1:]]
-        out = {name: np.zeros(len(hashes), np.int64) for name in names}
-        edges = np.searchsorted(part_of(hashes, self.model.parts), np.arange(self.model.parts + 1))
-        for part, (a, b) in enumerate(zip(edges, edges[1:])):
-            if a == b:
-                continue
-            if (kind, part) not in self.files:
-                self.files[kind, part] = map_arrays(f"{self.model.folder}/{kind}-{part}", fields)
-            if (file := self.files[kind, part]) is None:
+        self.files: dict[tuple[int, int], list[np.ndarray] | None] = {}
+
+    def look_up(self, level: int, hashes: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
+        """Values for n-grams by their hash, 0 where it is unknown; by: hash of the words that ranges are cut by."""
+        count = 1 if level == self.model.order > 1 else len(VALUES) + (level == 1)
+        out = [np.zeros(len(hashes), np.int64) for _ in range(count)]
+        part = part_of(by, self.model.parts)
+        order = np.lexsort((hashes, part))
+        edges = np.searchsorted(part[order], np.arange(self.model.parts + 1))
+        for p, (a, b) in enumerate(zip(edges, edges[1:])):
+            if a == b or (level, p) not in self.model.files:
                 continue
-            at = np.minimum(np.searchsorted(file["hash"], hashes[a:b]), len(file["hash"]) - 1)
-            hit = np.flatnonzero(file["hash"][at] == hashes[a:b])
-            at = at[hit]
-            for name in names:
-                out[name][a + hit] = file["small" if kind == "pairs" else name][at]
-            if kind == "pairs" and len(file["at"]):
-                place = np.minimum(np.searchsorted(file["at"], at), len(file["at"]) - 1)
-                large = file["at"][place] == at
-                out["count"][a + hit[large]] = file["count"][place[large]]
+            if (level, p) not in self.files:
+                self.files[level, p] = map_arrays(f"{self.model.folder}/{self.model.files[level, p]}")
+            own = order[a:b]
+            keys, *columns = self.files[level, p]
+            at = np.minimum(np.searchsorted(keys, hashes[own]), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == hashes[own])
+            at, own = at[hit], own[hit]
+            for k in range(count):
+                small, place, value = columns[3 * k : 3 * k + 3]
+                got = small[at].astype(np.int64)
+                if len(place):
+                    where = np.flatnonzero(got == LARGE)
+                    got[where] = value[np.searchsorted(place, at[where])]
+                out[k][own] = got
         return out
 
-    def log10(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 probability of each right word after the left one, and the right word's raw count."""
+    def values(self, level: int, grams: list[np.ndarray]) -> list[np.ndarray]:
+        hashes, first, back = np.unique(gram_hash(grams), return_index=True, return_inverse=True)
+        by = gram_hash([g[first] for g in grams[: cut_by(level)]])
+        return [v[back] for v in self.look_up(level, hashes, by)]
+
+    def log10(self, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of the last word of each n-gram of the model's order behind the others, and the word's raw count."""
         m = self.model
-        words, at = np.unique(np.concatenate((left, right)), return_inverse=True)
-        of_left, of_right = at[: len(left)], at[len(left) :]
-        known = self.look_up("words", WORD_FIELDS, words)
-        pairs, pair_at = np.unique(pair_hash(left, right), return_inverse=True)
-        count = self.look_up("pairs", PAIR_FIELDS, pairs)["count"]
-        d1, d2 = np.array(m.word_discounts), np.array(m.pair_discounts)
+        raw, count = self.values(1, grams[-1:])[:2]
+        d = np.array(m.discounts[1])
         if m.pairs:
-            spread = sum(d * n for d, n in zip(m.word_discounts[1:], m.word_classes)) / m.pairs / (m.words + 1)
-            low = (known["left"] - d1[np.minimum(known["left"], 3)]) / m.pairs + spread
+            spread = sum(x * n for x, n in zip(m.discounts[1][1:], m.word_classes)) / m.pairs / (m.words + 1)
+            p = (count - d[np.minimum(count, 3)]) / m.pairs + spread
         else:
-            low = np.ones(len(words))
-        follow = known["follow"]
-        rest = np.where(follow > 0, sum(d * known[f"n{k}"] for k, d in enumerate(m.pair_discounts) if k) / np.maximum(follow, 1), 1.0)
-        own = (count - d2[np.minimum(count, 3)])[pair_at] / np.maximum(follow, 1)[of_left]
-        return np.log10(own + rest[of_left] * low[of_right]), known["raw"][of_right]
+            p = np.ones(len(raw))
+        for level in range(2, m.order + 1):
+            d = np.array(m.discounts[level])
+            count = self.values(level, grams[-level:])[0]
+            *_, n1, n2, n3, follow = self.values(level - 1, grams[-level:-1])
+            many = np.maximum(follow, 1)
+            rest = np.where(follow > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / many, 1.0)
+            p = (count - d[np.minimum(count, 3)]) / many + rest * p
+        return np.log10(p), raw
 
 
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -364,10 +411,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         floor = np.log10(model.tokens + 0.1 * (model.words + 1))
 
         def block(rows: list[np.ndarray]) -> np.ndarray:
-            row = np.concatenate(rows)
-            inside = np.flatnonzero(row[:-1] != hashes[END])
-            logs, raw = mapped.log10(row[inside], row[inside + 1])
-            sizes = np.array([len(r) - 1 for r in rows])
+            logs, raw = mapped.log10(grams_of(np.concatenate(rows), model.order, hashes[END]))
+            sizes = np.array([len(r) - model.order + 1 for r in rows])
             starts = np.cumsum(sizes) - sizes
             sums = [np.add.reduceat(v, starts) for v in (logs, np.log10(raw + 0.1) - floor, (raw > 0).astype(np.float64))]
             return np.array([sizes, *sums])
@@ -375,7 +420,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             rows, out, size = [], [], 0
             for text in batch.column(2):
-                rows.append(tokens(text.as_py(), hashes))
+                rows.append(tokens(text.as_py(), hashes, model.order))
                 size += len(rows[-1])
                 if size >= BLOCK_TOKENS:
                     out.append(block(rows))
@@ -391,19 +436,20 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return map_arrow(texts, score, SCORED)
 
 
-def perplexities(docs: DataFrame, held_out: Column) -> DataFrame:
-    """SCORED, train_tokens and perplexity for each row, by a model of the rows where `held_out` is false.
+def perplexities(docs: DataFrame, held_out: Column, order: int = ORDER) -> DataFrame:
+    """SCORED, train_tokens and perplexity for each row, by a model of this order of the rows where `held_out` is false.
 
     A null or empty text has one token, its end. Rows with a null doc_id count like others. Repeated rows are counted
     and scored each. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession, "kneser-ney")
     marked = docs.select("doc_id", held_out.alias("held_out"), "text")
-    model = train(marked.where("not held_out"), scratch)
+    model = train(marked.where("not held_out"), scratch, order)
     out = scored(marked, model).withColumn("train_tokens", F.lit(model.tokens).cast("long"))
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 
 def op8_kneser_ney(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of `documents`: its tokens, log10 probability by the model of nine tenths of the documents, and the base score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return perplexities(docs, F.pmod(crc32_of(F.col("doc_id")), F.lit(10)) == 0).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")

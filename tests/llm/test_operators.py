@@ -467,42 +467,49 @@ class TestLines:
 
 
 class TestKneserNey:
-    @pytest.mark.parametrize("sizes", [(12_000_000, 400_000, 1_500_000), (2_000, 300, 400)])
-    def test_against_counts(self, spark, monkeypatch, corpus, sizes):
+    @pytest.mark.parametrize(("order", "sizes"), [(2, (12_000_000, 400_000, 1_500_000)), (2, (2_000, 300, 400)), (3, (12_000_000, 400_000, 1_500_000)), (3, (2_000, 300, 400)), (4, (2_000, 300, 400))])
+    def test_against_counts(self, spark, monkeypatch, corpus, order, sizes):
         for name, x in zip(("RANGE_CHARS", "BLOCK_TOKENS", "HELD_PAIRS"), sizes):
             monkeypatch.setattr(kneser_ney, name, x)
         rows = corpus + [(950, "w1 w2 UNSEEN")]
         held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 0
         crc = F.pmod(shared.crc32_of(F.col("doc_id")), F.lit(3)) == 0
-        got = kneser_ney.perplexities(documents(spark, rows), crc & F.col("doc_id").isNotNull()).collect()
+        got = kneser_ney.perplexities(documents(spark, rows), crc & F.col("doc_id").isNotNull(), order).collect()
         token = lambda x: [*(x or "").encode().lower().split(), b"</s>"]
-        raw, pair = Counter(), Counter()
+        padded = lambda x: [b"<s>"] * (order - 1) + token(x)
+        grams = lambda x: [tuple(t[k : k + order]) for t in [padded(x)] for k in range(len(t) - order + 1)]
+        raw, levels = Counter(), {order: Counter()}
         for i, x in rows:
             if not held(i):
                 raw.update(token(x))
-                pair.update(zip([b"<s>", *token(x)], token(x)))
-        left, follow, kinds = Counter(b for _, b in pair), Counter(), defaultdict(Counter)
-        for (a, _), n in pair.items():
-            follow[a] += n
-            kinds[a][min(n, 3)] += 1
-        ways = lambda counts: kneser_ney.discounts([sum(n == k for n in counts.values()) for k in range(1, 5)])
-        d1, d2 = ways(left), ways(pair)
-        rest = sum(d1[min(n, 3)] for n in left.values()) / len(pair) / (len(raw) + 1)
-        single = lambda w: (left[w] - d1[min(left[w], 3)]) / len(pair) + rest
-
-        def p(a, b):
-            if not follow[a]:
-                return single(b)
-            n = pair[a, b]
-            return (n - d2[min(n, 3)]) / follow[a] + sum(d2[k] * c for k, c in kinds[a].items()) / follow[a] * single(b)
-
-        assert sum(p(b"w1", w) for w in raw) + p(b"w1", b"?") == pytest.approx(1)
-        total = sum(raw.values())
+                levels[order].update(grams(x))
+        for m in range(order - 1, 0, -1):
+            levels[m] = Counter(g[1:] for g in levels[m + 1])
+        d = {m: kneser_ney.discounts([sum(n == k for n in counts.values()) for k in range(1, 5)]) for m, counts in levels.items()}
+        follow, kinds = Counter(), defaultdict(Counter)
+        for m in range(2, order + 1):
+            for g, n in levels[m].items():
+                follow[g[:-1]] += n
+                kinds[g[:-1]][min(n, 3)] += 1
+        total = sum(levels[1].values())
+        rest = sum(d[1][min(n, 3)] for n in levels[1].values()) / total / (len(raw) + 1)
+
+        def p(g):
+            if len(g) == 1:
+                return (levels[1][g] - d[1][min(levels[1][g], 3)]) / total + rest
+            if not follow[g[:-1]]:
+                return p(g[1:])
+            n, m = levels[len(g)][g], len(g)
+            return (n - d[m][min(n, 3)]) / follow[g[:-1]] + sum(d[m][k] * c for k, c in kinds[g[:-1]].items()) / follow[g[:-1]] * p(g[1:])
+
+        behind = (b"<s>",) * (order - 2) + (b"w1",)
+        assert sum(p((*behind, w)) for w in raw) + p((*behind, b"?")) == pytest.approx(1)
+        total_raw = sum(raw.values())
         expected = []
         for i, x in rows:
             t = token(x)
-            base = sum(math.log10((raw[w] + 0.1) / (total + 0.1 * (len(raw) + 1))) for w in t)
-            expected.append((i or -1, held(i), len(t), sum(raw[w] > 0 for w in t), total, round(base, 6), round(sum(math.log10(p(a, b)) for a, b in zip([b"<s>", *t], t)), 6)))
+            base = sum(math.log10((raw[w] + 0.1) / (total_raw + 0.1 * (len(raw) + 1))) for w in t)
+            expected.append((i or -1, held(i), len(t), sum(raw[w] > 0 for w in t), total_raw, round(base, 6), round(sum(math.log10(p(g)) for g in grams(x)), 6)))
         found = sorted((r["doc_id"] or -1, r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
         assert [x[:5] for x in found] == [x[:5] for x in sorted(expected)]
         assert np.allclose([x[5:] for x in found], [x[5:] for x in sorted(expected)], atol=1e-5)
@@ -516,9 +523,6 @@ class TestKneserNey:
         rng = np.random.default_rng(0)
         columns = [np.sort(rng.integers(0, 2**63, 100).astype(np.uint64)), rng.integers(0, 2**63, 7).astype(np.uint64), rng.integers(0, 9, 0).astype(np.uint32)]
         assert all(a.tolist() == b.tolist() for a, b in zip(columns, kneser_ney.unpacked(kneser_ney.packed(columns)), strict=True))
-        left, right = rng.integers(0, 20, 50).astype(np.uint64), rng.integers(0, 20, 50).astype(np.uint64)
-        hashes, a, b, n = kneser_ney.unpacked_pairs(kneser_ney.packed_pairs(left, right, np.arange(50).astype(np.uint64)))
-        assert sorted(zip(a.tolist(), b.tolist(), n.tolist())) == sorted(zip(left.tolist(), right.tolist(), range(50))) and (hashes == kneser_ney.pair_hash(a, b)).all()
 
     def test_counts_beyond_a_byte(self, spark):
         got = kneser_ney.perplexities(documents(spark, [(i, "x y") for i in range(700)]), F.lit(False)).first()
