@@ -1,12 +1,12 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is an Arrow batch of documents. Its words become numbers of the benchmark's vocabulary, all other words one
-number that no phrase contains; the FM-index is built over these numbers (suffix array by prefix doubling, BWT, wavelet
-matrix with counted bits, sampled suffix positions). All phrases are searched backwards together, a word at a time, and
-the rows of the intervals found are walked to sampled positions. Spans of one document are then merged.
+A shard is an Arrow batch of documents. All its words are numbered by a vocabulary of its own, and the FM-index is built
+over these numbers (suffix array by prefix doubling, BWT, wavelet matrix with counted bits, sampled suffix positions). All
+windows of the benchmark whose words the shard has are searched backwards together, a word at a time, and the rows of
+the intervals found are walked to sampled positions. Spans of one document are then merged.
 
-Stretches of a shard that can hold no phrase are left out before the suffixes are sorted: a phrase of n words needs n
-words in a row of which each two neighbours are neighbours in some phrase. That loses no occurrence.
+The benchmark reaches executors as one array of word numbers and its vocabulary; windows are views of that array and are
+searched in blocks, so memory grows with the benchmark's words alone, not with its windows.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ WINDOW = 10
 #: Every so many text positions one is kept for locating.
 SAMPLED = 16
 #: Characters of benchmark texts that are sent to executors at once; a larger benchmark is searched in several passes.
-PASS_CHARS = 64_000_000
-#: Words of stretches that one index covers; a batch with more gets several.
-SHARD_WORDS = 2_000_000
+PASS_CHARS = 32_000_000
+#: Words that one index covers; a batch with more gets several. Windows searched, and rows located, at once.
+SHARD_WORDS, BLOCK = 1_000_000, 200_000
 
 #: Bytes: letters lower-cased, digits and all beyond ASCII kept, others blank.
 FOLD = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -70,23 +70,29 @@ class WaveletMatrix:
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Positions of suffixes in order; text ends with a symbol less than all others."""
+    """Positions of suffixes in order; text ends with a symbol less than all others.
+
+    Suffixes are ordered by twice as many symbols each round; those that are alone by then aren't looked at again.
+    """
     order = np.argsort(text, kind="stable")
-    rank = np.empty(len(text), np.int64)
-
-    def rerank(key: np.ndarray) -> bool:
-        rank[order] = np.concatenate(([0], np.cumsum(key[order][1:] != key[order][:-1])))
-        return rank[order[-1]] == len(text) - 1
-
-    done, step = rerank(text), 1
-    while not done:
-        second = np.zeros(len(text), np.int64)
-        second[:-step] = rank[step:] + 1
-        key = rank * (len(text) + 1) + second
-        order = np.argsort(key, kind="stable")
-        done = rerank(key)
+    first = np.concatenate(([True], text[order][1:] != text[order][:-1]))
+    rank = np.empty(len(text), np.int64)  # the place of the first suffix that can't be told from it
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(len(text)), 0))
+    step = 1
+    while True:
+        last = np.concatenate((first[1:], [True]))
+        open_ = np.flatnonzero(~(first & last))
+        if not len(open_):
+            return order
+        at = order[open_]
+        after = at + step
+        second = np.where(after < len(text), rank[np.minimum(after, len(text) - 1)] + 1, 0)
+        group = rank[at]
+        by = np.lexsort((second, group))
+        order[open_], group, second = at[by], group[by], second[by]
+        first[open_] = np.concatenate(([True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])))
+        rank[order[open_]] = np.maximum.accumulate(np.where(first[open_], open_, 0))
         step *= 2
-    return order
 
 
 class FMIndex:
@@ -130,66 +136,91 @@ class FMIndex:
 
 
 class Phrases:
-    """Windows of benchmark items as numbers of their words, by window length."""
+    """Benchmark items laid end to end as numbers of their words, and the windows in them."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.vocabulary: dict[bytes, int] = {}
-        number = self.vocabulary.setdefault
-        owners: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        number: dict[bytes, int] = {}
         self.items = [item for item, _ in items]
-        for item, (_, text) in enumerate(items):
-            ids = [number(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            n = min(window, len(ids))
-            for at in range(len(ids) - n + 1 if n else 0):
-                having = owners.setdefault(n, {}).setdefault(tuple(ids[at : at + n]), [])
-                if not having or having[-1] != item:
-                    having.append(item)
-        self.windows = {n: np.array(list(w), np.int64) for n, w in owners.items()}
-        self.owners = {n: list(w.values()) for n, w in owners.items()}
-        base = len(self.vocabulary) + 1
-        couples = [w[:, k] * base + w[:, k + 1] for w in self.windows.values() for k in range(w.shape[1] - 1)]
-        self.couples = np.unique(np.concatenate(couples)) if couples else np.array([], np.int64)
-        self.single = np.zeros(base, bool)
-        if 1 in self.windows:
-            self.single[self.windows[1][:, 0]] = True
-        lengths = [n for n in self.windows if n > 1]
-        self.least, self.longest = min(lengths, default=0), max(self.windows, default=1)
-
-    def stretches(self, ids: np.ndarray) -> np.ndarray:
-        """Marks positions that a phrase may cover; ids: 0 for words outside the vocabulary and between documents."""
-        held = self.single[ids]
-        if self.least and len(ids) > 1 and len(self.couples):
-            at = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-            couple = ids[at] * (len(self.vocabulary) + 1) + ids[at + 1]
-            place = np.minimum(np.searchsorted(self.couples, couple), len(self.couples) - 1)
-            joined = np.zeros(len(ids) + 1, bool)  # joined[i]: i - 1 and i are neighbours in some phrase
-            joined[at[self.couples[place] == couple] + 1] = True
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], joined.view(np.int8), [0]))))
-            for start, end in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                if end - start + 1 >= self.least:
-                    held[start - 1 : end] = True
-        return held
-
-    def occurrences(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, window number, position) of all windows in `ids`, where 0 is in no window."""
-        held = self.stretches(ids)
-        at = np.flatnonzero(held)
-        while len(at):
-            part = at[:SHARD_WORDS]
-            at = at[len(part) - (self.longest - 1) :] if len(at) > SHARD_WORDS else at[:0]  # windows across the cut are in both
-            gap = np.concatenate(([True], np.diff(part) > 1))
-            place = np.arange(len(part)) + np.cumsum(gap)  # a 1 before each stretch keeps windows inside
-            text = np.ones(len(part) + int(gap.sum()), np.int64)
-            text[place] = ids[part] + 1
-            origin = np.zeros(len(text), np.int64)
-            origin[place] = part
-            index = FMIndex(text, len(self.vocabulary) + 1)
-            for n, windows in self.windows.items():
-                low, high = index.search(windows + 1)
-                count = high - low
-                which = np.repeat(np.arange(len(windows)), count)
-                rows = np.repeat(low, count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-                yield n, which, origin[index.locate(rows)]
+        parts = []
+        for _, text in items:
+            words = words_of(text)
+            parts.append(np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words)))
+        sizes = np.array([len(p) for p in parts], np.int64)
+        self.vocabulary = list(number)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        starts = np.cumsum(sizes) - sizes
+        self.starts: dict[int, np.ndarray] = {}  # by length of window
+        self.owners: dict[int, np.ndarray] = {}
+        for n in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+            own = np.flatnonzero((sizes >= n) if n == window else (sizes == n))
+            many = sizes[own] - n + 1
+            self.owners[n] = np.repeat(own, many).astype(np.int32)
+            self.starts[n] = np.repeat(starts[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+    def found(self, number: dict[bytes, int], index: FMIndex) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each length the windows that the index has, one of equal ones: (length, owners of each found, which, position).
+
+        number: the shard's vocabulary, from 2 on. which: the window, from 0 on, of each position; owners: pairs (window, item).
+        """
+        known = np.fromiter((number.get(w, 0) for w in self.vocabulary), np.int64, len(self.vocabulary))
+        words = known[self.words] if len(self.words) else np.zeros(0, np.int64)
+        missing = np.concatenate(([0], np.cumsum(words == 0)))
+        for n, starts in self.starts.items():
+            live = np.flatnonzero(missing[starts + n] == missing[starts])
+            for at in range(0, len(live), BLOCK):
+                mine = live[at : at + BLOCK]
+                low, high = index.search(words[starts[mine][:, None] + np.arange(n)])
+                hit = np.flatnonzero(low < high)
+                if not len(hit):
+                    continue
+                low, which = np.unique(low[hit], return_inverse=True)  # windows with one interval are equal
+                ends = np.zeros(len(low), np.int64)
+                ends[which] = high[hit]
+                owners = np.unique(np.stack((which, self.owners[n][mine[hit]])), axis=1)
+                count = ends - low
+                each = np.repeat(np.arange(len(low)), count)
+                rows = np.repeat(low, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
+                yield n, owners, each, np.concatenate([index.locate(rows[k : k + BLOCK]) for k in range(0, len(rows), BLOCK)])
+
+
+def shards(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Documents [start, end) with at most SHARD_WORDS words together, or one that has more alone."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        if held and held + n > SHARD_WORDS:
+            yield start, i
+            start, held = i, 0
+        held += n + 1
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def search_shard(texts: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[list[tuple[int, int]], set[int]]]:
+    """For each text, given by its words: merged spans of words that windows cover, and numbers of the items they are from."""
+    number: dict[bytes, int] = {}
+    parts, starts, at = [], [], 0
+    for words in texts:
+        parts.append(np.fromiter((number.setdefault(w, len(number) + 2) for w in words), np.int64, len(words)))
+        parts.append(np.ones(1, np.int64))  # between two texts
+        starts.append(at)
+        at += len(words) + 1
+    starts = np.array(starts, np.int64)
+    index = FMIndex(np.concatenate(parts), len(number) + 1)
+    edge = np.zeros(at + 1, np.int64)
+    items: list[set[int]] = [set() for _ in texts]
+    for n, (window, item), which, position in phrases.found(number, index):
+        np.add.at(edge, position, 1)
+        np.add.at(edge, position + n, -1)
+        doc = np.searchsorted(starts, position, side="right") - 1
+        first = np.searchsorted(window, np.arange(window[-1] + 2))
+        for d, w in zip(*np.unique(np.stack((doc, which)), axis=1).tolist()):
+            items[d].update(item[first[w] : first[w + 1]].tolist())
+    covered = np.flatnonzero(np.diff(np.concatenate(([0], (np.cumsum(edge) > 0).view(np.int8), [0]))))
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    for start, end in zip(covered[::2].tolist(), covered[1::2].tolist()):
+        d = int(np.searchsorted(starts, start, side="right")) - 1
+        spans[d].append((start - int(starts[d]), end - int(starts[d])))
+    yield from zip(spans, items)
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -208,29 +239,19 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, carry: b
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = held.value
-        number = phrases.vocabulary.get
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            parts, starts, at = [], [], 0
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                parts.append(np.fromiter((number(w, 0) for w in words), np.int64, len(words)))
-                starts.append(at)
-                at += len(words) + 1
-                parts.append(np.zeros(1, np.int64))
-            ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            starts = np.array(starts, np.int64)
+            texts = [words_of(text.as_py()) for text in batch.column(1)]
+            sizes = [len(x) for x in texts]
             spans = [[(s["start"], s["end"]) for s in x or []] for x in batch.column(3).to_pylist()]
             found = [set(x or []) for x in batch.column(4).to_pylist()]
-            for n, which, position in phrases.occurrences(ids):
-                doc = np.searchsorted(starts, position, side="right") - 1
-                first = position - starts[doc]
-                for d, f, w in zip(doc.tolist(), first.tolist(), which.tolist()):
-                    spans[d].append((f, f + n))
-                    found[d].update(phrases.items[i] for i in phrases.owners[n][w])
+            for start, end in shards(sizes):
+                for d, (more, items) in enumerate(search_shard(texts[start:end], phrases), start):
+                    spans[d] += more
+                    found[d].update(phrases.items[i] for i in items)
+                texts[start:end] = [[]] * (end - start)
             spans = [[{"start": a, "end": b} for a, b in merge_spans(x)] for x in spans]
-            sizes = np.diff(np.append(starts, len(ids))) - 1
-            text = batch.column(1) if carry else pa.nulls(len(starts), pa.binary())
+            text = batch.column(1) if carry else pa.nulls(len(sizes), pa.binary())
             columns = [batch.column(0), text, pa.array(sizes, pa.int64()), pa.array(spans, kinds), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "spans", "items"])
 
@@ -306,4 +327,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:
+    """A row for each row of `documents`: its words, those that windows of `benchmark` hit, and a digest of the items hit."""
     return digest(contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
