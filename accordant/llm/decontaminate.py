@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -197,10 +198,10 @@ def shards(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def search_shard(texts: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[list[tuple[int, int]], set[int]]]:
     """For each text, given by its words: merged spans of words that windows cover, and numbers of the items they are from."""
-    number: dict[bytes, int] = {}
+    number = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(texts)), 2)}
     parts, starts, at = [], [], 0
     for words in texts:
-        parts.append(np.fromiter((number.setdefault(w, len(number) + 2) for w in words), np.int64, len(words)))
+        parts.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
         parts.append(np.ones(1, np.int64))  # between two texts
         starts.append(at)
         at += len(words) + 1
