@@ -12,7 +12,7 @@ many characters of one line are read as of the other, plus d less the number of
 A segment that many different lines share (more than BUCKET) would give all pairs of them. For one edit such lines are
 joined by their neighbourhoods instead: lines that agree but for the character at one place form a clique, which is
 stored as a star, and a line without one of its characters equals the shorter line; that has one row for each character.
-For more edits they are dealt out as pairs of blocks, whose lines are compared within an array.
+For more edits they are dealt out as pairs of blocks, each of which is a bucket of its own.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ from accordant.llm.shared import BLANK_CHARS, Scratch, connected_components, sen
 EDITS = ((20, 1), (60, 2))
 #: Different lines under one segment that are compared in pairs.
 BUCKET = 200
-#: Rows of hashes, and removed lines, up to which they are sent to all tasks; beyond that texts are shuffled to meet them.
-SENT_HASHES, SENT_LINES = 500_000, 1_000_000
+#: Keys that lines meet in, hashes of lines that meet, and removed lines, up to which they are sent to all tasks; beyond
+#: that keys or texts are shuffled to meet them.
+SENT_KEYS, SENT_HASHES, SENT_LINES = 1_000_000, 500_000, 1_000_000
 #: Numbers above any line's, and numbers that tell texts under one id apart.
 ROW, TEXTS = 1 << 31, 1 << 24
 #: Letters that are counted to tell lines apart.
@@ -177,18 +178,20 @@ def neighbourhood_links(crowd: DataFrame, scratch: Scratch, edits=EDITS) -> tupl
     return stars.unionAll(drops).distinct(), each.groupBy("id").agg(F.sum("k").alias("n_links"))
 
 
-def block_pairs(crowd: DataFrame, texts: DataFrame) -> DataFrame:
-    """(u, v) of crowd (k, id, own, size), one of them an owner of k, whose letter counts let them be close.
+def bucket_pairs(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(u, v) of met (k, id, own, size) that share a key which one of them owns, and whose letter counts let them be close.
 
-    Each bucket is cut into blocks of BUCKET lines; each two blocks meet in an array of their own.
+    Lines of a bucket are compared within an array, so what can't be close is no row. A bucket of more than BUCKET lines
+    is cut into blocks, and each two blocks meet in an array of their own.
     """
     blocks = F.ceil(F.col("size") / BUCKET).cast("int")
-    dealt = crowd.join(texts.select("id", "c"), "id").withColumns({"b": F.pmod(F.xxhash64("id"), blocks).cast("int"), "o": F.explode(F.sequence(F.lit(0), blocks - 1))})
-    met = dealt.groupBy("k", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")).agg(F.collect_list(F.struct("id", "own", "b", "c")).alias("all"))
-    edits = F.col("k").bitwiseAND(F.lit(3)).cast("int")
-    fits = lambda a, b: (a["id"] < b["id"]) & (a["own"] | b["own"]) & ((F.col("lo") == F.col("hi")) | (a["b"] != b["b"])) & may_be_within(a["c"], b["c"], edits)
+    dealt = met.join(texts.select("id", "c"), "id").withColumns({"b": F.pmod(F.xxhash64("id"), blocks).cast("int"), "o": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    cells = dealt.groupBy("k", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi")).agg(F.collect_list(F.struct("id", "own", "b", "c")).alias("all"))
+    cells = cells.where(F.exists("all", lambda x: x["own"])).withColumn("edits", F.col("k").bitwiseAND(F.lit(3)).cast("int"))
+    here = lambda a, b: (a["id"] < b["id"]) & (a["own"] | b["own"]) & ((F.col("lo") == F.col("hi")) | (a["b"] != b["b"]))
+    fits = lambda a, b: F.when(here(a, b), may_be_within(a["c"], b["c"], F.col("edits"))).otherwise(False)
     found = F.flatten(F.transform("all", lambda a: F.transform(F.filter("all", lambda b: fits(a, b)), lambda b: F.struct(a["id"].alias("u"), b["id"].alias("v")))))
-    return met.select(F.inline(found)).distinct()
+    return cells.select(F.inline(found)).distinct()
 
 
 def line_classes(docs: DataFrame, scratch: Scratch, short: bool, edits=EDITS) -> tuple[DataFrame, DataFrame]:
@@ -204,22 +207,17 @@ def line_classes(docs: DataFrame, scratch: Scratch, short: bool, edits=EDITS) ->
     each = scratch.keep(each.withColumn("id", F.monotonically_increasing_id()), "distinct")
     posted = each.select("id", F.posexplode(F.array(*names)).alias("slot", "k")).where("k is not null").select("k", "id", (F.col("slot") < len(own)).alias("own"))
     buckets = posted.groupBy("k").agg(F.count("*").alias("size"), F.sum(F.col("own").cast("int")).alias("owns")).where("size > 1 and owns > 0").select("k", "size")
-    met = scratch.keep(posted.join(scratch.keep(buckets, "buckets"), "k"), "met")
+    met = scratch.keep(posted.join(sent_if_small(scratch.keep(buckets, "buckets"), SENT_KEYS), "k"), "met")
     crowded, one = F.col("size") > BUCKET, F.col("k").bitwiseAND(F.lit(3)) == 1
     ids = sent_if_small(scratch.keep(met.groupBy("id").agg(F.max(crowded & one).alias("crowded")), "ids"), SENT_HASHES)
     needed = sent_if_small(scratch.keep(each.select("id", "h1", "h2").join(ids, "id"), "needed"), SENT_HASHES)
     texts = found.select("h1", "h2", "line").join(needed, ["h1", "h2"]).groupBy("id", "crowded").agg(F.first("line").alias("line"))
     texts = scratch.keep(texts.withColumn("c", letter_counts(F.col("line"))), "texts")
 
-    few = met.where(~crowded)
-    pairs = few.where("own").select("k", F.col("id").alias("u")).join(few.select("k", F.col("id").alias("v"), "own"), "k")
-    pairs = pairs.where("u < v or (u > v and not own)").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    many = met.where(crowded & ~one)
-    if not many.isEmpty():
-        pairs = pairs.unionAll(block_pairs(many, texts)).distinct()
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("crowded").alias(f"c{x}"), F.col("line").alias(f"l{x}"), F.col("c").alias(f"n{x}"))
+    pairs = scratch.keep(bucket_pairs(met.where(~(crowded & one)), texts), "pairs")
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("crowded").alias(f"c{x}"), F.col("line").alias(f"l{x}"))
     k = edits_for(F.least(F.length("lu"), F.length("lv")), edits)
-    sides = pairs.join(side("u"), "u").join(side("v"), "v").where(may_be_within(F.col("nu"), F.col("nv"), k)).where(~(F.col("cu") & F.col("cv") & (k == 1)))
+    sides = pairs.join(side("u"), "u").join(side("v"), "v").where(~(F.col("cu") & F.col("cv") & (k == 1)))
     links = scratch.keep(close(sides, edits).select("u", "v"), "close")
     counts = links.selectExpr("u id").unionAll(links.selectExpr("v id")).groupBy("id").agg(F.count("*").alias("n_links"))
     crowd = texts.where("crowded")

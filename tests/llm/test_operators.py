@@ -115,7 +115,7 @@ class TestSimHash:
             for b in rng.choice(64, int(rng.integers(0, 7)), replace=False):
                 x ^= 1 << int(b)
             prints[i] = x
-        nodes = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x, i) for x, i in {x: i for i, x in sorted(prints.items(), reverse=True)}.items()], "fp long, rep long")
+        nodes = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x, i) for x, i in {x: i for i, x in sorted(prints.items(), reverse=True)}.items()], "fp0 long, rep long")
         links = simhash.near_links(nodes, shared.Scratch(spark, "test"))
         found = {r["node"]: r["component"] for r in shared.connected_components(links).collect()}
         expected = self.components(prints)
@@ -127,6 +127,53 @@ class TestSimHash:
         assert kept.columns == documents(spark, rows).columns
         assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 3, 9]
 
+    def test_texts_under_one_id_stay(self, spark):
+        rows = [(9, "one text about something else"), (9, "and a wholly different one"), (10, "and a wholly different one"), (11, None), (12, ""), (None, None)]
+        docs = documents(spark, rows).withColumnsRenamed({"lang": "t1", "line": "row", "n_words": "component", "component_id": "place"})
+        kept = simhash.keep_first(docs)
+        assert kept.columns == docs.columns
+        assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())) == [(0, ""), (9, "and a wholly different one"), (9, "one text about something else"), (11, "")]
+        assert simhash.keep_first(documents(spark, [])).collect() == []
+
+    def test_spread_triples(self):
+        found = simhash.SIMILAR.triples
+        assert len(set(found)) == len(found) == 320
+        used = Counter(p for t in found for p in t)
+        assert set(used) == set(range(32)) and max(used.values()) < 2 * min(used.values())
+
+    @pytest.mark.parametrize("block", [4096, 7])
+    def test_similar_groups_against_all_pairs(self, spark, monkeypatch, block):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        rng = np.random.default_rng(21)
+        rows = []
+        for g in range(25):
+            base = invented(rng, int(rng.integers(60, 400)), 5000).split()
+            rows.append((len(rows), " ".join(base)))
+            for _ in range(int(rng.integers(0, 6))):
+                w = list(base)
+                for _ in range(int(rng.integers(0, 1 + len(w) // 25))):
+                    w[rng.integers(len(w))] = "Zz%d" % rng.integers(9)
+                rows.append((len(rows), " ".join(w)))
+        sets = {i: {tuple(low(x).split()[k : k + 5]) for k in range(len(x.split()) - 4)} for i, x in rows}
+        pairs = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sets, 2)}
+        got = defaultdict(set)
+        for r in simhash.similar_groups(documents(spark, rows), shared.Scratch(spark, "test")).collect():
+            got[r["component"]].add(r["doc_id"])
+        of = {i: c for c, ids in got.items() for i in ids}
+        alike = [p for p, x in pairs.items() if x >= 0.8]
+        met = [p for p in alike if of[p[0]] == of[p[1]]]
+        assert len(alike) > 40 and len(met) >= 0.95 * len(alike)
+        root = {i: i for i in sets}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in alike:
+            root[find(a)] = find(b)
+        assert all(len({find(i) for i in ids}) == 1 for ids in got.values())  # no group beyond what similar texts join
+
     def test_empty_table(self, spark):
         assert simhash.near_duplicates(documents(spark, [])).collect() == []
 
