@@ -116,5 +116,6 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None) ->
 
 
 def op2_importance_resampling(spark, sf_dir: str) -> DataFrame:
+    """The rows of `documents` drawn, with their log weight and key."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return resample(docs, labels.select("doc_id", "quality")).select("doc_id", "log_weight", "key")

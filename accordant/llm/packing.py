@@ -234,5 +234,6 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, car
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """`pack` for `documents`, a row for each piece."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack(docs, tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

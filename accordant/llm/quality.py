@@ -164,12 +164,16 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with its columns. Counts are taken twice, so no text is stored or shuffled.
 
     The row number in the condition keeps the filter above the counts; pushed below, it would take them again and again.
+    Columns of any name go through unread. Nulls, repeats and empty tables: as in `judged`.
     """
     model = fitted(with_counts(docs.select("text")))
-    return with_verdict(with_counts(docs), model).where("_q_kept and _q_row >= 0").select(*docs.columns)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    kept = with_verdict(with_counts(held), model).where("_q_kept and _q_row >= 0")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """`judged` for `documents`, a row for each of its rows: counts, base test, verdict and posterior."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = judged(docs)
     return out.select("doc_id", *[F.col(f"_q_{c}").alias(c) for c in COUNTS], F.col("_q_base_failed").alias("base_failed"), F.col("_q_kept").alias("kept"), F.col("_q_posterior").alias("posterior"))

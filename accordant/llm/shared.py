@@ -22,9 +22,11 @@ _SHIPPED: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (single-machine tests), a temporary folder of this process."""
+    """spark.checkpoint.dir of the session; where it is unset a temporary folder of this process, on a single machine alone."""
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _OWN_FOLDER:
         _OWN_FOLDER.append(f"file://{tempfile.mkdtemp(prefix='accordant-')}")
     return _OWN_FOLDER[0]
@@ -83,6 +85,11 @@ def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often `use` has it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is; null counts as empty."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -73,24 +74,39 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def fit_noisy_or(toxic: np.ndarray, plain: np.ndarray, doc: np.ndarray, sentence: np.ndarray, word: np.ndarray, n_words: int) -> tuple[float, np.ndarray]:
-    """Bias and weights.
+@dataclass(frozen=True)
+class Bags:
+    """toxic, plain: for each document its label and how many sentences have no weighted word; sentence, word: one entry for each weighted word of a sentence; doc: the document of each sentence that has one."""
 
-    toxic, plain: for each document its label and how many sentences have no weighted word; sentence, word: one entry
-    for each weighted word of a sentence; doc: the document of each sentence that has one.
+    toxic: np.ndarray
+    plain: np.ndarray
+    doc: np.ndarray
+    sentence: np.ndarray
+    word: np.ndarray
+
+
+def loss_and_slope(bags: Bags, bias: float, weights: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood of the labels with the weights' penalty, and its slope by weights and bias.
+
+    A document's sentences together add up to -log P(not toxic): the sum of softplus of their scores.
     """
+    z = bias + np.bincount(bags.sentence, weights[bags.word], len(bags.doc))
+    total = np.maximum(np.bincount(bags.doc, softplus(z), len(bags.toxic)) + bags.plain * softplus(np.array(bias)), 1e-9)
+    n = max(len(bags.toxic), 1)
+    loss = float(np.where(bags.toxic == 1, -np.log(-np.expm1(-total)), total).sum()) / n + SHRINK / 2 * float(weights @ weights)
+    by_total = np.where(bags.toxic == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0)
+    at = by_total[bags.doc] / (1 + np.exp(-z))
+    slope = np.append(np.bincount(bags.word, at[bags.sentence], len(weights)), at.sum() + (by_total * bags.plain).sum() / (1 + np.exp(-bias))) / n
+    slope[:-1] += SHRINK * weights
+    return loss, slope
+
+
+def fit_noisy_or(bags: Bags, n_words: int) -> tuple[float, np.ndarray]:
+    """Bias and weights by gradient descent with moments."""
     weights, bias = np.zeros(n_words), -6.0
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
     for t in range(1, STEPS + 1):
-        z = bias + np.bincount(sentence, weights[word], len(doc))
-        none = np.logaddexp(0, bias)
-        total = np.bincount(doc, softplus(z), len(toxic)) + plain * none
-        total = np.maximum(total, 1e-9)
-        slope = np.where(toxic == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0)
-        at = slope[doc] / (1 + np.exp(-z))
-        g = np.append(np.bincount(word, at[sentence], n_words), at.sum() + (slope * plain).sum() / (1 + np.exp(-bias)))
-        g /= max(len(toxic), 1)
-        g[:-1] += SHRINK * weights
+        _, g = loss_and_slope(bags, bias, weights)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         weights -= step[:-1]
@@ -130,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[float, di
     found = [s for r in rows for s in r["having"]]
     sentence = np.repeat(np.arange(len(found)), [len(s) for s in found])
     word = np.array([w for s in found for w in s], np.int64)
-    bias, weights = fit_noisy_or(np.array([r["toxic"] for r in rows]), np.array([r["plain"] for r in rows]), doc, sentence, word, len(number))
+    bias, weights = fit_noisy_or(Bags(np.array([r["toxic"] for r in rows]), np.array([r["plain"] for r in rows]), doc, sentence, word), len(number))
     return bias, {f: float(weights[i]) for f, i in number.items()}
 
 
@@ -186,6 +202,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """`toxicity` for `documents`, a row for each of its rows, learned from three quarters of the labels."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = toxicity(docs, labels.select("doc_id", "toxic"), F.pmod(crc32_of(F.col("doc_id")), F.lit(4)) == 2)
     return out.select("doc_id", "held_out", "score", "predicted", "sentences")

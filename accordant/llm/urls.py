@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from accordant.llm.shared import Scratch, connected_components, lower_ascii
+from accordant.llm.shared import Scratch, connected_components, let, lower_ascii
 
 #: Verdict, host and path of each rule.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -37,9 +37,41 @@ def path_of(url: Column) -> Column:
 
 def node_of(url: Column) -> Column:
     """Host, path (/ if empty) and query, without scheme and fragment; null for what has no host."""
-    named = F.regexp_replace(F.regexp_extract(_rest(url), r"^[^#]*", 0), r"^([^/?]+)(?=\?|$)", "$1/")
-    host = F.regexp_extract(named, r"^[^/?]*", 0)
-    return F.when(host != "", F.concat(lower_ascii(host), F.substr(named, F.length(host) + 1)))
+
+    def named(rest: Column) -> Column:
+        return F.regexp_replace(F.regexp_extract(rest, r"^[^#]*", 0), r"^([^/?]+)(?=\?|$)", "$1/")
+
+    def split(name: Column) -> Column:
+        return let(F.regexp_extract(name, r"^[^/?]*", 0), lambda host: F.when(host != "", F.concat(lower_ascii(host), F.substr(name, F.length(host) + 1))))
+
+    return let(url, lambda u: let(named(_rest(u)), split))
+
+
+def without_dots(path: Column) -> Column:
+    """A path without . and .. parts, each of which takes the part before it along."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+
+    def add(out: Column, part: Column) -> Column:
+        return F.when(part == ".", out).when(part == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(part)))
+
+    kept = F.array_join(F.aggregate(parts, F.array().cast("array<string>"), add), "/")
+    return F.when(F.contains(path, F.lit("/.")), F.concat(kept, F.when(last.isin(".", ".."), F.lit("/")).otherwise(F.lit("")))).otherwise(path)
+
+
+def resolved(to: Column, url: Column, host: Column, path: Column) -> Column:
+    """The target of a link as a full address, as seen from a page."""
+    scheme = F.substring_index(url, "://", 1)
+    site = F.concat(scheme, F.lit("://"), host)
+    target, rest = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"^[^?#]*(.*)$", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path, r"^/?(.*/)?", 1))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
+        .when(target == "", F.concat(site, path, rest))
+        .when(F.startswith(to, F.lit("/")), F.concat(site, without_dots(target), rest))
+        .otherwise(F.concat(site, without_dots(F.concat(folder, target)), rest))
+    )
 
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
@@ -70,23 +102,17 @@ def with_rules(urls: DataFrame, rules: DataFrame, host: str = "host", path: str
 
 
 def html_links(pages: DataFrame) -> DataFrame:
-    """(u, v): nodes of pages and of the targets that their canonical link or refresh names."""
+    """(u, v): nodes of pages and of all targets that their canonical links and refreshes name."""
     lowered = F.lower("html")
     found = pages.where(F.col("url").contains("://") & (F.contains(lowered, F.lit("canonical")) | F.contains(lowered, F.lit("http-equiv"))))
-    found = found.select("url", F.regexp_extract("html", LINK, 0).alias("link"), F.regexp_extract("html", REFRESH, 0).alias("refresh"))
-    href = F.concat(*[F.regexp_extract("link", HREF, k) for k in (1, 2, 3)])
-    targets = F.array(F.trim(href), F.trim(F.regexp_extract("refresh", TARGET, 1)))
+    every = lambda pattern: F.regexp_extract_all("html", F.lit(pattern), F.lit(0))
+    href = lambda tag: F.trim(F.concat(*[F.regexp_extract(tag, HREF, k) for k in (1, 2, 3)]))
+    targets = F.concat(F.transform(every(LINK), href), F.transform(every(REFRESH), lambda tag: F.trim(F.regexp_extract(tag, TARGET, 1))))
     found = found.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.explode(targets).alias("to")).where("host <> '' and to <> ''")
-    scheme, to = F.substring_index("url", "://", 1), F.col("to")
-    folder = F.concat(F.regexp_extract("path", r"^/?(.*/)?", 1), F.lit(""))
-    full = (
-        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
-        .when(F.startswith(to, F.lit("//")), F.concat(scheme, F.lit(":"), to))
-        .when(F.startswith(to, F.lit("/")), F.concat(scheme, F.lit("://"), F.col("host"), to))
-        .otherwise(F.concat(scheme, F.lit("://"), F.col("host"), F.lit("/"), folder, to))
-    )
-    found = found.select("url", full.alias("to"))
-    return found.select(node_of(F.col("url")).alias("u"), node_of(F.col("to")).alias("v")).where("u is not null and v is not null and u <> v")
+    full = resolved(F.col("to"), F.col("url"), F.col("host"), F.col("path"))
+    # an array of one keeps the condition behind this step; before it, each node would be made again and again
+    both = F.array(F.struct(node_of(F.col("url")).alias("u"), node_of(full).alias("v")))
+    return found.select(F.inline(both)).where("u is not null and v is not null and u <> v")
 
 
 def judged_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -94,12 +120,12 @@ def judged_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
 
     redirects: (source_url, target_url) beside what pages name. component: the least node of the page's aliases, itself
     if it has none. A null url or one without "://" has no host, fits no rule and passes. Repeated rows are judged
-    alike; an empty table gives an empty table.
+    alike; an empty table gives an empty table. Other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     links = html_links(pages)
     if redirects is not None:
-        more = redirects.select(node_of(F.col("source_url")).alias("u"), node_of(F.col("target_url")).alias("v"))
+        more = redirects.select(F.inline(F.array(F.struct(node_of(F.col("source_url")).alias("u"), node_of(F.col("target_url")).alias("v")))))
         links = links.unionAll(more.where("u is not null and v is not null and u <> v"))
     found = connected_components(links, "url-components")
     nodes = found.withColumns({"host": F.regexp_extract("node", r"^[^/?#]*", 0), "path": F.regexp_extract("node", r"^[^/?#]*([^?#]*)", 1)})
@@ -113,5 +139,6 @@ def judged_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
 
 
 def op5_url_filter(spark, sf_dir: str) -> DataFrame:
+    """`judged_pages` for `pages`, a row for each of its rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return judged_pages(pages, rule_table(spark)).select("page_id", "host", "path", "rule", "verdict")
