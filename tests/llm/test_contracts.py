@@ -321,6 +321,8 @@ def test_stages_stand_odd_tables(spark, folder):
             held = scratch.keep(stage(spark, held, folder), name)
             assert held.columns == docs.columns
         found = {(r["doc_id"], r["text"]) for r in held.collect()}
-        assert empty and not found or {(201, "same id, other text here"), (200, None), (None, None)} <= found and (100, None) not in found
+        # one of those that are empty or whose lines all repeat, and 7, which is an item of the benchmark
+        without = sorted(i for i, x in found if i is not None and not x)
+        assert (without, found) == ([], set()) if empty else without == [7, 100] and {(201, "same id, other text here"), (None, None)} <= found
         packed = corpus_pipeline.STAGES[-1][1](spark, held, folder)
         assert (packed.count() == 0) is empty
