@@ -12,7 +12,7 @@ searched in blocks, so memory grows with the benchmark's words alone, not with i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,7 +28,7 @@ SAMPLED = 16
 #: Characters of benchmark texts that are sent to executors at once; a larger benchmark is searched in several passes.
 PASS_CHARS = 32_000_000
 #: Words that one index covers; a batch with more gets several. Windows searched, and rows located, at once.
-SHARD_WORDS, BLOCK = 1_000_000, 200_000
+SHARD_WORDS, BLOCK = 250_000, 100_000
 
 #: Bytes: letters lower-cased, digits and all beyond ASCII kept, others blank.
 FOLD = bytes(b if b >= 128 or chr(b).isdigit() or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
@@ -184,16 +184,19 @@ class Phrases:
                 yield n, owners, each, np.concatenate([index.locate(rows[k : k + BLOCK]) for k in range(0, len(rows), BLOCK)])
 
 
-def shards(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Documents [start, end) with at most SHARD_WORDS words together, or one that has more alone."""
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if held and held + n > SHARD_WORDS:
-            yield start, i
-            start, held = i, 0
-        held += n + 1
-    if start < len(sizes):
-        yield start, len(sizes)
+def shards(texts: Iterable[bytes | None]) -> Iterator[list[list[bytes]]]:
+    """The words of texts in lists of at most SHARD_WORDS words together, or of one text that has more alone."""
+    held: list[list[bytes]] = []
+    size = 0
+    for text in texts:
+        words = words_of(text)
+        if held and size + len(words) > SHARD_WORDS:
+            yield held
+            held, size = [], 0
+        held.append(words)
+        size += len(words) + 1
+    if held:
+        yield held
 
 
 def search_shard(texts: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[list[tuple[int, int]], set[int]]]:
@@ -242,15 +245,14 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, carry: b
         phrases = held.value
         kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            texts = [words_of(text.as_py()) for text in batch.column(1)]
-            sizes = [len(x) for x in texts]
             spans = [[(s["start"], s["end"]) for s in x or []] for x in batch.column(3).to_pylist()]
             found = [set(x or []) for x in batch.column(4).to_pylist()]
-            for start, end in shards(sizes):
-                for d, (more, items) in enumerate(search_shard(texts[start:end], phrases), start):
+            sizes: list[int] = []
+            for texts in shards(text.as_py() for text in batch.column(1)):
+                for d, (more, items) in enumerate(search_shard(texts, phrases), len(sizes)):
                     spans[d] += more
                     found[d].update(phrases.items[i] for i in items)
-                texts[start:end] = [[]] * (end - start)
+                sizes += map(len, texts)
             spans = [[{"start": a, "end": b} for a, b in merge_spans(x)] for x in spans]
             text = batch.column(1) if carry else pa.nulls(len(sizes), pa.binary())
             columns = [batch.column(0), text, pa.array(sizes, pa.int64()), pa.array(spans, kinds), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
