@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from accordant.functions.values import cache_key, strip
+from accordant.sources.records import exists
 
 LEAST_SCORE, OBSOLETE = 0.3, 0.2
 DAY = 86_400
@@ -89,7 +90,8 @@ ENTRIES = "key string, value string, func_name string, params_summary string, cr
 
 def cache_table(spark: SparkSession, folder: str) -> DataFrame:
     """Entries stored in a folder; the folder is made, empty, where it isn't there."""
-    spark.createDataFrame([], ENTRIES).write.mode("append").parquet(folder)
+    if not exists(spark, folder):
+        spark.createDataFrame([], ENTRIES).write.mode("append").parquet(folder)
     return spark.read.schema(ENTRIES).parquet(folder)
 
 

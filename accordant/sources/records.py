@@ -50,14 +50,15 @@ def read_json_records(spark: SparkSession, root: str, pattern: str = "*/*", mode
 
 def _raw(spark: SparkSession, root: str, model: str) -> DataFrame:
     paths = [f"{root}/*/input/*.json", f"{root}/*/gold/*.json", f"{root}/*/output/{model}/*/*.json"]
-    found = [p for p in paths if _exists(spark, p)]
+    found = [p for p in paths if exists(spark, p)]
     text = spark.read.text(found, wholetext=True).select("value", plain_path(F.col("_metadata.file_path")).alias("path"), plain_path(F.col("_metadata.file_name")).alias("record"))
     place = r"/([^/]+)/(?:(input|gold)|output/([^/]+)/([^/]+))/[^/]+$"
     part = lambda k: F.nullif(F.regexp_extract("path", place, k), F.lit(""))
     return text.select("value", "record", part(1).alias("assay"), F.coalesce(part(2), F.lit("output")).alias("role"), part(3).alias("model"), part(4).alias("run_type"))
 
 
-def _exists(spark: SparkSession, pattern: str) -> bool:
+def exists(spark: SparkSession, pattern: str) -> bool:
+    """Whether some file or folder fits a path with wildcards."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
     found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
     return found is not None and len(found) > 0
