@@ -237,8 +237,8 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, carry: bool) -> DataFrame:
-    """Adds what these items hit to n_words, spans and items; the text goes on if `carry`."""
+def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, carry: bool, cut: bool) -> DataFrame:
+    """Adds what these items hit to n_words, spans and items; the text goes on if `carry`, without its spans if `cut`."""
     held = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))  # of at most PASS_CHARS characters
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,8 +253,11 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, carry: b
                     spans[d] += more
                     found[d].update(phrases.items[i] for i in items)
                 sizes += map(len, texts)
-            spans = [[{"start": a, "end": b} for a, b in merge_spans(x)] for x in spans]
+            merged = [merge_spans(x) for x in spans]
+            spans = [[{"start": a, "end": b} for a, b in x] for x in merged]
             text = batch.column(1) if carry else pa.nulls(len(sizes), pa.binary())
+            if cut and any(merged):
+                text = pa.array([cut_spans(x.as_py(), m) if m else x.as_py() for x, m in zip(text, merged)], pa.binary())
             columns = [batch.column(0), text, pa.array(sizes, pa.int64()), pa.array(spans, kinds), pa.array([sorted(x) for x in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(columns, ["row", "text", "n_words", "spans", "items"])
 
@@ -262,10 +265,10 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, carry: b
     return map_arrow(docs, search, f"row {fields}, text binary, n_words long, spans array<struct<start: int, end: int>>, items array<string>")
 
 
-def searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, carry: bool) -> DataFrame:
+def searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int, carry: bool, cut: bool = False) -> DataFrame:
     """(row, text, n_words, spans, items): row holds the columns `keep` of docs, spans are merged, items are sorted ids.
 
-    Spans count words, end exclusive. With `carry` the text is there as UTF-8, else null. Null or empty texts have no
+    Spans count words, end exclusive. With `carry` the text is there as UTF-8, with `cut` without its spans, else null. Null or empty texts have no
     words. An item without words is in no document, ids that repeat count once, and a null item_id is not searched for.
     With an empty benchmark nothing is hit. The benchmark reaches executors in passes of at most PASS_CHARS characters,
     each of which adds to the row.
@@ -278,7 +281,7 @@ def searched(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int
     out = out.selectExpr("row", "text", "cast(null as long) n_words", "cast(null as array<struct<start: int, end: int>>) spans", "cast(null as array<string>) items")
     for k in range(passes):
         items = [(r["item"], bytes(r["text"])) for r in numbered.where(F.col("pass") == k).collect()]
-        out = _pass(out, items, window, carry or k < passes - 1)
+        out = _pass(out, items, window, carry or k < passes - 1, cut and k == passes - 1)
     return out
 
 
@@ -295,11 +298,8 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def cut_spans(text: bytes | None, spans: list[tuple[int, int]]) -> str:
+def cut_spans(body: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of `spans` and what stands between them."""
-    body = text or b""
-    if not spans:
-        return body.decode()
     letters = np.frombuffer(body.translate(FOLD), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate(([0], letters.view(np.int8), [0]))))
     starts, ends = edge[::2], edge[1::2]
@@ -307,7 +307,7 @@ def cut_spans(text: bytes | None, spans: list[tuple[int, int]]) -> str:
     for first, last in spans:
         out.append(body[at : starts[first]])
         at = int(ends[last - 1])
-    return b"".join([*out, body[at:]]).decode()
+    return b"".join([*out, body[at:]])
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -316,17 +316,8 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     Texts without a hit, nulls included, are as before. All other columns go through unread.
     """
     others = [c for c in docs.columns if c != "text"]
-    out = searched(docs, benchmark, others, window, True).select("row", "text", "spans")
-    fields = out.schema["row"].dataType.simpleString()
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            texts = [x if x is None else cut_spans(x, [(a["start"], a["end"]) for a in s]) for x, s in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
-
-    cleaned = map_arrow(out, cut, f"row {fields}, text string")
-    return cleaned.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    out = searched(docs, benchmark, others, window, True, True)
+    return out.select(*[F.col("text").cast("string").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op4_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a number of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         found = self[word] = xxhash.xxh64_intdigest(word)
         return found

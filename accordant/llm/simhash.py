@@ -32,8 +32,8 @@ SHINGLE, SEED, MAX_BITS, BYTES = 4, 42, 4, 8
 BLOCK = 4096
 #: Keys of postings with two rows or more, and documents to drop, that are sent to all tasks at most; beyond that the other side is shuffled.
 SENT_KEYS, SENT_IDS = 1_000_000, 500_000
-#: Rows that a task gathers before it compares, beyond the posting it is in.
-CHUNK = 100_000
+#: Rows that a task gathers before it compares, beyond the posting it is in; keys that a task posts.
+CHUNK, POSTED = 100_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -221,7 +221,9 @@ def near_links(nodes: DataFrame, scratch: Scratch, index: Index = EXACT) -> Data
     triple = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(p).alias(f"p{i}") for i, p in enumerate(t)]) for n, t in enumerate(index.triples)]))
     byte = lambda p: f"(shiftrightunsigned(get(fps, {p} div 8), 8 * ({p} % 8)) & 255)"
     key = "cast(n as long) << 24 | " + " | ".join(f"{byte(f'p{i}')} << {16 - 8 * i}" for i in range(3))
-    posted = nodes.select(triple.alias("t"), "rep", *fps).select("t.*", "rep", *fps, F.array(*fps).alias("fps")).select(F.expr(key).alias("k"), "rep", *fps)
+    # so many tasks that the keys that one counts before the shuffle take bounded memory
+    spread = nodes.repartition(max(1, -(-nodes.count() * len(index.triples) // POSTED)))
+    posted = spread.select(triple.alias("t"), "rep", *fps).select("t.*", "rep", *fps, F.array(*fps).alias("fps")).select(F.expr(key).alias("k"), "rep", *fps)
     # most keys have one row, which meets nothing
     counts = posted.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     counts = scratch.keep(counts, "counts")
