@@ -1,11 +1,14 @@
 """Each corpus operator against a plain brute-force version on small tables with nulls, empty texts, ties and clashing columns."""
 
+import dataclasses
 import hashlib
 import itertools
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -575,6 +578,46 @@ class TestKneserNey:
         got = kneser_ney.perplexities(documents(spark, [(i, "x y") for i in range(700)]), F.lit(False)).first()
         assert got["train_tokens"] == 2100 and abs(got["score"]) < 0.01
 
+    def test_disk(self, spark, monkeypatch):
+        """Bytes shuffled and stored for each different triple; as 64-bit hashes of words and n-grams they were 53 and 23."""
+        rng = np.random.default_rng(1)
+        rows = [(i, " ".join(f"w{k}" for k in (20_000 * rng.random(1_000) ** 3).astype(int))) for i in range(200)]
+        triples = {t for _, x in rows for w in [["<", "<", *x.split(), ">"]] for t in zip(w, w[1:], w[2:])}
+        sent, map_arrow = [], kneser_ney.map_arrow
+        monkeypatch.setattr(kneser_ney, "RANGE_CHARS", 300_000)
+        monkeypatch.setattr(kneser_ney, "map_arrow", lambda df, function, schema: sent.append(map_arrow(df, function, schema)) or sent[-1])
+        scratch = shared.Scratch(spark, "kneser-ney")
+        kneser_ney.train(documents(spark, rows), scratch, 3)
+        stored = sum(f.stat().st_size for f in (Path(urlparse(scratch.folder).path) / "model").iterdir())
+        shuffled = sum(df.agg(F.sum(F.length("blob"))).first()[0] for df in sent)
+        assert shuffled < 12 * len(triples) and stored < 15 * len(triples)
+
+    @pytest.mark.parametrize(("n", "bits"), [(1, 1), (1, 64), (7, 3), (500, 12), (3000, 41), (3000, 64)])
+    def test_tables(self, n, bits):
+        rng = np.random.default_rng(n)
+        own = lambda k: rng.integers(0, 2**bits - 1, k, np.uint64, endpoint=True)
+        truth = {int(k): (i % 300 if n > 1000 else i % 3, 70_000 if i % 50 == 7 else 1, 2**40 + i if i % 70 == 8 else 0) for i, k in enumerate(np.unique(own(n)))}
+        keys = np.array(sorted(truth), np.uint64)
+        columns = kneser_ney.Table.columns(keys, [np.array(v, np.uint64) for v in zip(*(truth[int(k)] for k in keys))])
+        table = kneser_ney.Table([*columns, np.zeros(3)])
+        assert table.size == len(columns)
+        asked = np.unique(np.concatenate([keys, own(1000), np.array([0, 2**bits - 1], np.uint64)]))
+        hit, place = table.find(asked)
+        assert asked[hit].tolist() == keys.tolist() and place.tolist() == list(range(len(keys)))
+        assert list(zip(*(v.tolist() for v in table.at(place)))) == [truth[int(k)] for k in keys]
+        assert [len(x) for x in table.find(asked[:0])] == [0, 0] and all(len(v) == 0 for v in table.at(place[:0]))
+        assert len(set(kneser_ney.mixed(keys, bits).tolist())) == n or n > len(keys) == len(set(kneser_ney.mixed(keys, bits).tolist()))
+
+    @pytest.mark.parametrize("order", [3, 4])
+    def test_keys_beyond_64_bits(self, spark, monkeypatch, corpus, order):
+        def scores():
+            return sorted((r["doc_id"] or -1, r["score"]) for r in kneser_ney.perplexities(documents(spark, corpus), F.coalesce(F.col("doc_id") % 3, F.lit(1)) == 0, order).collect())
+
+        exact = scores()
+        vocabulary = kneser_ney.vocabulary
+        monkeypatch.setattr(kneser_ney, "vocabulary", lambda *x: dataclasses.replace(vocabulary(*x), width=32))
+        assert np.allclose(scores(), exact, atol=1e-9)
+
 
 class TestToxicity:
     def test_held_out_documents(self, spark):
