@@ -161,7 +161,7 @@ def _starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _rows(kind: str, parts: int, words: list[np.ndarray], values: list[np.ndarray], width: int, by: int) -> Iterator[pa.RecordBatch]:
     """A packed row for each range that the first `by` words are in. Its n-grams are in order of their first two words; the second stand as differences."""
     part = part_of(*gram_key(words[:by], width), parts)
-    order = np.argsort(words[0].astype(np.uint64) << np.uint64(32) | words[min(1, len(words) - 1)])
+    order = np.argsort(words[0].astype(np.uint64) << np.uint64(min(32, 64 - width)) | words[min(1, len(words) - 1)])
     order = order[np.argsort(part[order].astype(np.min_scalar_type(parts)), kind="stable")]
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p, a, b in zip(range(parts), edges, edges[1:]):
@@ -285,7 +285,7 @@ class Numbers:
     def _found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For distinct hashes in order."""
         known = self.known
-        numbers, counts = np.full(len(hashes), known.words, np.uint32), np.zeros(len(hashes), np.int64)
+        numbers, counts = np.full(len(hashes), known.words, np.uint32 if known.width <= 32 else np.uint64), np.zeros(len(hashes), np.int64)
         edges = np.searchsorted(part_of(hashes, 64, known.parts), np.arange(known.parts + 1))
         for p, (a, b) in enumerate(zip(edges, edges[1:])):
             if a == b or p not in known.files:

@@ -608,14 +608,14 @@ class TestKneserNey:
         assert [len(x) for x in table.find(asked[:0])] == [0, 0] and all(len(v) == 0 for v in table.at(place[:0]))
         assert len(set(kneser_ney.mixed(keys, bits).tolist())) == n or n > len(keys) == len(set(kneser_ney.mixed(keys, bits).tolist()))
 
-    @pytest.mark.parametrize("order", [3, 4])
-    def test_keys_beyond_64_bits(self, spark, monkeypatch, corpus, order):
+    @pytest.mark.parametrize(("order", "width"), [(3, 32), (4, 32), (3, 40)])
+    def test_keys_beyond_64_bits(self, spark, monkeypatch, corpus, order, width):
         def scores():
             return sorted((r["doc_id"] or -1, r["score"]) for r in kneser_ney.perplexities(documents(spark, corpus), F.coalesce(F.col("doc_id") % 3, F.lit(1)) == 0, order).collect())
 
         exact = scores()
         vocabulary = kneser_ney.vocabulary
-        monkeypatch.setattr(kneser_ney, "vocabulary", lambda *x: dataclasses.replace(vocabulary(*x), width=32))
+        monkeypatch.setattr(kneser_ney, "vocabulary", lambda *x: dataclasses.replace(vocabulary(*x), width=width))
         assert np.allclose(scores(), exact, atol=1e-9)
 
 
